@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from covarium.llm.common import text_or_empty
 
-MEMO_ENTRIES, MEMO_CHARS, PAIRS = 300_000, 8_000_000, 1_000_000
+MEMO_ENTRIES, MEMO_CHARS, PAIRS = 400_000, 8_000_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,12 +39,20 @@ class PrefixBpe:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: Tokens that merging their own bytes gives; others arise only as whole pieces.
+        self.whole: dict[bytes, int] = {}
+        #: The two tokens whose merge makes a token.
+        self.halves: dict[int, tuple[int, int]] = {}
+        for data, token in ranks.items():
+            parts, joined = self._merged(data)
+            if len(parts) == 1:
+                self.whole[data] = token
+                if joined:
+                    self.halves[token] = ranks[joined[0]], ranks[joined[1]]
         self._follows: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The plain procedure: merge the adjacent pair of lowest rank, leftmost first, while there is one."""
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
+    def _merged(self, piece: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+        parts, ranks, joined = [piece[i : i + 1] for i in range(len(piece))], self.ranks, None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -52,34 +61,53 @@ class PrefixBpe:
                     best, at = r, i
             if best is None:
                 break
+            joined = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts, joined
 
-    def whole(self, token: int) -> bool:
-        """Whether merging a token's bytes gives that token; others arise only as whole pieces."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merge(self.bytes_of[token]) == [token]
-        return known
+    def merge(self, piece: bytes) -> list[int]:
+        """The plain procedure: merge the adjacent pair of lowest rank, leftmost first, while there is one."""
+        return [self.ranks[p] for p in self._merged(piece)[0]]
 
     def follows(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self._follows.get(key)
-        if known is None:
-            if len(self._follows) > PAIRS:
-                self._follows.clear()
-            known = self._follows[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+        """Whether merging the bytes of ``a`` and ``b`` leaves these two.
+
+        The merges that made the two are undone from the last one; at every
+        stage the tokens that meet at the boundary must not merge before the
+        merge just undone, the left of two equal ranks coming first.
+        """
+        bound = len(self.ranks) + 1 << 32
+        while True:
+            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if joined is not None and joined < bound:
+                return False
+            left, right = self.halves.get(a), self.halves.get(b)
+            if left is not None and (right is None or a > b):
+                bound, a = a, left[1]
+            elif right is not None:
+                bound, b = b + 1, right[0]
+            else:
+                return True
 
     def extend(self, piece: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Add to ``last`` the last tokens of the prefixes of ``piece`` that it doesn't have yet."""
-        ranks = self.ranks
+        whole, known, follows, longest = self.whole.get, self._follows, self.follows, self.longest
+        if len(known) > PAIRS:
+            known.clear()
         for end in range(len(last) + 1, (len(piece) if upto is None else upto) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and self.whole(token) and (not start or self.follows(last[start - 1], token)):
-                    last.append(token)
-                    break
+            for start in range(end - longest if end > longest else 0, end):
+                token = whole(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    before = last[start - 1]
+                    fits = known.get(before << 32 | token)
+                    if fits is None:
+                        fits = known[before << 32 | token] = follows(before, token)
+                    if not fits:
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError("no token ends this prefix")
         return last
@@ -131,6 +159,27 @@ class PrefixTable:
         return self.bpe.tokens(self.last)
 
 
+class Memo:
+    """A bounded memo in two generations: what was used since the last turnover survives the next one."""
+
+    def __init__(self, compute, entries: int, chars: int) -> None:
+        self.compute, self.entries, self.chars = compute, entries, chars
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.held = 0
+
+    def add(self, key: str) -> bytes | None:
+        """The value of a key that ``young`` lacks."""
+        value = self.old[key] if key in self.old else self.compute(key)
+        self.young[key] = value
+        self.held += len(key)
+        return value
+
+    def turn(self) -> None:
+        if len(self.young) > self.entries or self.held > self.chars:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 class TextEncoder:
     """Encodes whole texts: each match of the pattern is a piece.
 
@@ -142,39 +191,42 @@ class TextEncoder:
 
     def __init__(self, bpe: PrefixBpe, pattern: str) -> None:
         self.bpe, self.pattern = bpe, regex.compile(pattern)
-        self.memo: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chars = 0
+        self.words = Memo(self._word, MEMO_ENTRIES, MEMO_CHARS)
+        self.pieces = Memo(self._encoded, MEMO_ENTRIES // 2, MEMO_CHARS)
+
+    def _encoded(self, piece: str) -> bytes:
+        return array("I", self.bpe.encode_piece(piece.encode())).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        code = self.pieces.get(piece)
-        if code is None:
-            code = np.array(self.bpe.encode_piece(piece.encode()), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) > MEMO_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = code
-        return code
+        code = self.pieces.young.get(piece)
+        return self.pieces.add(piece) if code is None else code
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a word and the space before it; None if other white space touches a space."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        if max(word) < "\u0250":  # letters and what may follow them, cut as the pattern would
+            if word.isalpha():
+                return self._piece(" " + word)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self._piece(" " + word[:-1]) + self._piece(word[-1])
+        return self._plain(" " + word)
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pattern.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
+        self.words.turn()
+        self.pieces.turn()
         first, *rest = text.split(" ")
-        memo = self.memo
-        if new := set(rest) - memo.keys():
-            if len(memo) + len(new) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
-                memo.clear()
-                self.chars, new = 0, set(rest)
-            for word in new:
-                odd = not word or word[0].isspace() or word[-1].isspace()
-                memo[word] = None if odd else self._plain(" " + word)
-                self.chars += len(word)
-        try:
-            if first and not first[-1].isspace():
-                return np.frombuffer(self._plain(first) + b"".join(map(memo.__getitem__, rest)), "<u4")
-        except TypeError:  # a word beside other white space
-            pass
+        young = self.words.young
+        for word in rest:
+            if word not in young:
+                self.words.add(word)
+        if first and not first[-1].isspace():
+            codes = list(map(young.__getitem__, rest))
+            if None not in codes:
+                return np.frombuffer(self._plain(first) + b"".join(codes), "<u4")
         return np.frombuffer(self._plain(text), "<u4")
 
 

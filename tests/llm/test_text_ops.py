@@ -278,8 +278,19 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_appends_and_edits():
-    coder = bpe.PrefixBpe(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.PrefixBpe(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+def test_follows_is_merging(coder):
+    rng = np.random.default_rng(5)
+    tokens = list(coder.whole.values())
+    for a, b in rng.choice(tokens[:5000], (3000, 2)).tolist() + rng.choice(tokens, (3000, 2)).tolist():
+        assert coder.follows(a, b) == (coder.merge(coder.bytes_of[a] + coder.bytes_of[b]) == [a, b])
+
+
+def test_bpe_appends_and_edits(coder):
     rng = np.random.default_rng(3)
     data = bytes(rng.choice(np.frombuffer(b"abcdefgh thein", np.uint8), 400))
     table = bpe.PrefixTable(coder, data[:200])
