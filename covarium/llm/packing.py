@@ -15,6 +15,7 @@ from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,32 +26,104 @@ END_ID = 2
 SEQUENCE = 4096
 #: Tokens of a range, such that one task holds some megabytes and its padding is under a thousandth.
 RANGE_TOKENS = 1 << 22
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 8 << 20
 #: Entries and characters at which a worker's memo of encoded words is emptied.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 8_000_000
+MEMO_ENTRIES, MEMO_CHARS = 500_000, 12_000_000
+#: Punctuation that the tokenizer keeps in one piece behind letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 class WordEncoder:
-    """Ids of whole texts by a `tokenizers` file that never joins across a space; words are memoised, up to a bound."""
+    """Ids of whole texts by a `tokenizers` file that never joins across a space and ends words by ``</w>``.
+
+    Words are memoised in two generations, so that what was used since the last
+    turnover survives the next one. New words of Latin letters and the marks
+    behind them need no normalising but lower case and are cut at one place, so
+    many of them go through the tokenizer's model in one call and are told apart
+    by the word ends among their ids.
+    """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.chars = 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split(" ") for t in texts]
-        new = list(set().union(*split) - self.memo.keys())
-        if new and (len(self.memo) + len(new) > MEMO_ENTRIES or self.chars > MEMO_CHARS):
-            self.memo, self.chars = {}, 0
-            new = list(set().union(*split))
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[word] = np.array(code.ids, "<u4").tobytes()
-            self.chars += len(word)
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        young, old = self.young, self.old
+        names, parts, ends = [], [], []
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+                continue
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                names.append(w)
+                parts.append(stem)
+                if len(stem) < len(w):
+                    parts.append(w[len(stem) :])
+                    ends.append(2)
+                else:
+                    ends.append(1)
+            else:
+                young[w] = self._alone(w) if w else b""
+        at = 0
+        for k in range(0, len(names), 512):
+            some, counts = names[k : k + 512], ends[k : k + 512]
+            upto = at + sum(counts)
+            joined = " ".join(parts[at:upto]).lower()
+            at = upto
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            places = np.flatnonzero(self.ends[ids]) + 1
+            if len(places) == sum(counts):
+                cuts = (4 * places[np.cumsum(counts) - 1]).tolist()
+                raw = ids.tobytes()
+                young.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            else:
+                young.update((w, self._alone(w)) for w in some)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin and the last one's end.
+
+        Arrow splits the texts and numbers their different words; only those are
+        looked up, and their ids are laid out by their numbers.
+        """
+        if len(self.young) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
+            self.young, self.old, self.chars = {}, self.young, 0
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+        young = self.young
+        codes = list(map(young.get, words))
+        if None in codes:
+            pending = {w for w, c in zip(words, codes) if c is None}
+            self.chars += sum(map(len, pending))
+            self._learn(pending)
+            codes = list(map(young.__getitem__, words))
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
+        start = np.cumsum(size) - size
+        sizes = size[number]
+        ends = np.cumsum(sizes)
+        place = np.repeat(start[number] - ends + sizes, sizes)
+        place += np.arange(len(place))
+        return flat[place], np.r_[0, ends][bounds]
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -89,14 +162,19 @@ def directions(ids: int, dimensions: int = DIMENSIONS, seed: int = 20) -> np.nda
     return np.random.default_rng(seed).standard_normal((ids, dimensions)).astype(np.float32)
 
 
-def curve_key(ids: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Grid coordinates of one document: its mean direction, scaled by the square root of its length, through the normal distribution function."""
-    if not len(ids):
-        return np.zeros(table.shape[1], np.int64)
-    mean = np.bincount(ids, minlength=len(table)) if len(ids) > len(table) else None
-    total = mean @ table if mean is not None else table[ids].sum(axis=0)
-    z = total / len(ids) ** 0.5 / 4
-    return np.array([min((1 << bits) - 1, int((1 << bits) * (1 + erf(v / sqrt(2))) / 2)) for v in z], np.int64)
+def curve_keys(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Grid coordinates of each text: the sum of its words' directions over the root of their number, through the normal distribution function."""
+    out = np.zeros((len(bounds) - 1, table.shape[1]), np.int64)
+    count = np.diff(bounds)
+    some = np.flatnonzero(count)
+    if len(some):
+        sums = np.add.reduceat(table[ids], bounds[some], axis=0)
+        z = sums / np.sqrt(count[some])[:, None] / 4
+        out[some] = np.minimum((1 << bits) - 1, ((1 << bits) * (1 + _erf(z / sqrt(2))) / 2).astype(np.int64))
+    return out
+
+
+_erf = np.vectorize(erf, otypes=[float])
 
 
 _encoders: dict[str, tuple[WordEncoder, np.ndarray]] = {}
@@ -108,17 +186,17 @@ def _encoded(path: str, end_id: int):
             encoder = WordEncoder(path)
             _encoders[path] = encoder, directions(encoder.tokenizer.get_vocab_size())
         encoder, table = _encoders[path]
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                codes = encoder.encode(part.column(1).to_pylist())
-                grid = np.array([curve_key(np.frombuffer(c, "<u4"), table) for c in codes])
-                ids = [np.frombuffer(c + end, "<u4") for c in codes]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(hilbert_index(grid, BITS)), pa.array([len(x) for x in ids], pa.int64()), pa.array([_thin(x) for x in ids], pa.binary())],
-                    ["doc_id", "curve", "tokens", "ids"],
-                )
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # rows of some megabytes, one at least
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES)))
+                part = batch.slice(at, upto - at)
+                at = upto
+                ids, bounds = encoder.encode(part.column(1))
+                keys = hilbert_index(curve_keys(ids, bounds, table), BITS)
+                stored = [_thin(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(np.diff(bounds) + 1), pa.array(stored, pa.binary())], ["doc_id", "curve", "tokens", "ids"])
 
     return run
 
