@@ -14,7 +14,7 @@ def windowed_moments(stream: DataFrame, columns: Sequence[str], keys: Sequence[s
     Rows with a null in any column are left out. On a stream, a window is final
     once the watermark has passed it.
     """
-    whole = stream.dropna(subset=list(columns)).withWatermark(time, watermark)
+    whole = stream.dropna(subset=list(columns)).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
     sums = [F.sum(c).alias(f"s_{c}") for c in columns]
     products = [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
     return whole.groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
