@@ -128,13 +128,15 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> Model:
     """Train on a bounded sample of the labelled documents that aren't held out.
 
-    The sample is the first so many of each class by a hash of doc_id, of those of
-    at most ``DOC_BYTES``. Classes are weighted by their numbers among all such
+    The sample is the first so many different texts of each class by a hash of
+    doc_id, of those of at most ``DOC_BYTES``. Classes are weighted by their numbers among all such
     labels. Without both classes the score is that share for every text.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_or_empty()).alias("size")).join(known, "doc_id")
-    small = sized.where(F.col("size") <= DOC_BYTES).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_or_empty()).alias("size"), F.xxhash64(text_or_empty()).alias("same")).join(known, "doc_id")
+    # of copies one, by whatever label most of them have
+    single = sized.where(F.col("size") <= DOC_BYTES).groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"))
+    small = single.select("doc_id", (F.col("toxic") > 0.5).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [small.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n) for k, n in ((1, toxic_docs), (0, ordinary_docs))]
     chosen = picked[0].unionByName(picked[1])
@@ -148,7 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordi
     coder = Coder()
 
     def dictionaries(some: list) -> tuple[bytes, bytes]:
-        windows = [[w for r in some if r[2] == k for w in coder.windows(r[3])[1]] for k in (0, 1)]
+        # windows that near copies share count once
+        windows = [list(dict.fromkeys(w for r in some if r[2] == k for w in coder.windows(r[3])[1])) for k in (0, 1)]
         return _dictionary(ORDINARY_BYTES, windows[0]), _dictionary(TOXIC_BYTES, windows[1])
 
     x, y = [], []
