@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covarium.llm import bpe, licenses, packing, passages, quality, sharding, simhash, sketches, toxicity, urls
+from covarium.llm import bpe, licenses, packing, passages, quality, sharding, simhash, sketches, sql, toxicity, urls
 from covarium.session import ship_package
 
 
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_redirect_equivalence": sql.urls_sql(), "op6_risk_controlled_quality": sql.quality_sql()}

@@ -83,6 +83,37 @@ def test_passage_edges(spark):
     assert passages.shared_passages(docs.limit(0)).count() == 0
 
 
+def test_repeats_within_texts(spark):
+    rng = np.random.default_rng(12)
+    loop, p = prose(rng, 30), prose(rng, 70)
+    texts = {0: " ".join([loop] * 60), 1: " ".join([loop] * 100), 2: p, 3: p + " " + prose(rng, 40) + " " + p}
+    got = passages.shared_passages(frame(spark, texts.items())).collect()
+    assert len(got) < 60 and {(r.match_doc_id, r.doc_id) for r in got} == {(0, 1), (2, 3)}
+    covered = {r.doc_id: set() for r in got}
+    for r in got:
+        covered[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    assert len(covered[1]) == 3000 and len(covered[3]) == 140
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_anchors_over_batches(size, monkeypatch):
+    """Batches of any size, and seeds of more rows than are held, give the same anchors."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    rows = np.array(sorted((int(s), int(d), int(a), int(c)) for s, d, a, c in rng.integers(0, 6, (80, 4)))).T
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in rows], ["seed", "doc", "at", "context"]) for k in range(0, 80, size)]
+    whole = sorted(tuple(r.values()) for b in passages._anchored(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["seed", "doc", "at", "context"])])) for r in b.to_pylist())
+    monkeypatch.setattr(passages, "COMBINE", 5)
+    assert whole == sorted(tuple(r.values()) for b in passages._anchored(iter(batches)) for r in b.to_pylist()) and whole
+
+
+def test_runs_of_one_word(spark):
+    texts = {0: "de " * 8 + "x", 1: "a b " + "de " * 60 + "c", 2: "d e f " + "de " * 20 + "g", 3: "q " + "de " * 55}
+    got = passages.shared_passages(frame(spark, texts.items())).collect()
+    assert {(r.match_doc_id, r.doc_id) for r in got} == {(1, 3)}
+
+
 def test_group_of_many_copies(spark):
     rng = np.random.default_rng(6)
     p = prose(rng, 70)
@@ -246,6 +277,26 @@ def test_components(spark, seed):
     assert {r.vertex: r.component for r in got.collect()} == {v: c for v, c in label.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
+# SQL
+
+
+@pytest.mark.parametrize("name", ["op4_redirect_equivalence", "op6_risk_controlled_quality"])
+def test_sql(spark, name):
+    import duckdb
+
+    from covarium.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda records, columns: sorted(tuple(r[columns.index(c)] for c in sorted(columns)) for r in records)
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(rows([tuple(r) for r in got.fillna("").collect()], got.columns), key=key) == sorted(rows([tuple("" if v is None else v for v in r) for r in want.fetchall()], want.columns), key=key)
+
+
 # the pipeline
 
 
