@@ -5,7 +5,9 @@ from __future__ import annotations
 import platform
 import subprocess
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import product
 from pathlib import Path
 
 import numpy as np
@@ -13,14 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covarium.functions import matrices as M
+from covarium.functions.distributions import chance_level
 from covarium.operators import metrics
 from covarium.operators.align import RiemannianAlignment, TangentSpace
 from covarium.operators.classify import MDM, KernelSVM, LinearDiscriminant, logistic
 from covarium.operators.kernels import KernelClassifier
+from covarium.operators.rank import bootstrap_ci
 from covarium.operators.splits import SPLITTERS, BaseSplitter, make_splitter
 from covarium.plans.config import ExperimentConfig, save_config
 from covarium.sources import trials as T
-from covarium.sources.shards import ShardStore
+from covarium.sources.shards import ShardStore, canonical
 
 
 class FoldModel:
@@ -97,8 +101,12 @@ class EvaluationResult:
         return spark.createDataFrame([{"fold": f["fold"], "n_train": f["n_train"], "n_test": f["n_test"]} | {k: float(v) for k, v in f["scores"].items()} for f in self.folds])
 
 
-def evaluate_fold(model: FoldModel, data: DataFrame, folds: DataFrame, fold: int, names: tuple[str, ...]) -> dict:
-    """Fit on a fold's training rows and score its test rows; both need two classes."""
+def evaluate_fold(model: FoldModel, data: DataFrame, folds: DataFrame, fold: int, names: tuple[str, ...], search: tuple | None = None) -> dict:
+    """Fit on a fold's training rows and score its test rows; both need two classes.
+
+    ``search`` is (grid, inner splitter, metric): the best values on inner folds
+    of the training rows are taken first.
+    """
     own = folds.where(F.col("fold") == fold)
     train = data.join(own.where("role = 'train'").select("trial_id"), "trial_id", "left_semi")
     test = data.join(own.where("role = 'test'").select("trial_id"), "trial_id", "left_semi")
@@ -109,11 +117,25 @@ def evaluate_fold(model: FoldModel, data: DataFrame, folds: DataFrame, fold: int
             raise ValueError(f"fold {fold}: the {role} rows have one class")
         sizes.append(r["n"])
     began = time.time()
+    if search:
+        model = FoldModel(select_steps(model.steps, search[0], train, *search[1:]))
     row = metrics.scores(model.fit_predict(train, test)).first()
     groups = [r[0] for r in test.select("subject").distinct().orderBy("subject").collect()]
     return {"fold": fold, "n_train": sizes[0], "n_test": sizes[1], "test_groups": groups, "scores": {m: float(row[m]) for m in names}, "seconds": time.time() - began}
 
 
+def select_steps(steps: list[tuple[str, dict]], grid: dict[str, list], train: DataFrame, inner: BaseSplitter, metric: str) -> list[tuple[str, dict]]:
+    """The steps with the values of a grid (``step__parameter``) that score best on inner folds of training rows; the first of equals."""
+    best, top = steps, -np.inf
+    for values in product(*grid.values()):
+        setting = dict(zip(grid, values))
+        tried = [(name, params | {k.split("__", 1)[1]: v for k, v in setting.items() if k.split("__", 1)[0] == name}) for name, params in steps]
+        score = evaluate(tried, train, inner, (metric,)).mean(metric)
+        if score > top:
+            best, top = tried, score
+    return best
+
+
 def evaluate(steps: list[tuple[str, dict]], data: DataFrame, splitter: BaseSplitter, names: tuple[str, ...] = ("accuracy", "balanced_accuracy", "kappa")) -> EvaluationResult:
     """Score steps over all folds of ``data`` (trial_id, subject, label, cov)."""
     if not names or not set(names) <= set(metrics.METRICS):
@@ -149,6 +171,7 @@ class RunSummary:
     n_units: int
     n_computed: int
     path: Path
+    intervals: dict = field(default_factory=dict)
 
     def describe(self) -> str:
         return f"{self.n_computed} of {self.n_units} folds computed, results in {self.path}"
@@ -190,8 +213,15 @@ def run_experiment(spark: SparkSession, config: ExperimentConfig, data: DataFram
         units = {config.unit_id(fold=k): k for k in range(splitter.n_splits(data))}
         todo = list(units) if config.runtime.overwrite else store.pending(list(units))
         folds = splitter.split(data).persist()
-        for unit in todo:
-            store.write(unit, evaluate_fold(FoldModel(steps), data, folds, units[unit], config.evaluation.metrics), fold=units[unit], provenance=collect_provenance(spark, config))
+        chosen = config.evaluation
+        search = (chosen.grid, make_splitter(chosen.inner_protocol.name, **chosen.inner_protocol.params), chosen.selection_metric) if chosen.grid else None
+        provenance = collect_provenance(spark, config)
+
+        def work(unit: str) -> None:
+            store.write(unit, evaluate_fold(FoldModel(steps), data, folds, units[unit], chosen.metrics, search), fold=units[unit], provenance=provenance)
+
+        with ThreadPoolExecutor(max(1, config.runtime.n_jobs)) as pool:
+            list(pool.map(work, todo))
         folds.unpersist()
         balance = {str(r["label"]): r["proportion"] for r in metrics.class_balance(data).collect()}
     finally:
@@ -201,7 +231,11 @@ def run_experiment(spark: SparkSession, config: ExperimentConfig, data: DataFram
         raise RuntimeError(f"shards are missing: {missing}")
     done = sorted((shards[u] for u in units), key=lambda f: f["fold"])
     info = {"protocol": splitter.info.name, "subject_independent": splitter.info.subject_independent, "temporally_disjoint": splitter.info.temporally_disjoint}
-    return RunSummary(EvaluationResult(done, info, max(balance.values()), balance), len(units), len(todo), path)
+    result = EvaluationResult(done, info, max(balance.values()), balance)
+    intervals = {m: vars(bootstrap_ci(result.scores(m), n_resamples=config.statistics.n_bootstrap, confidence=1 - config.statistics.alpha, seed=config.runtime.seed)) for m in chosen.metrics} if len(done) > 1 else {}
+    chance = chance_level(sum(n for _, n in result.fold_sizes()), max(2, len(balance)), config.statistics.alpha)
+    (path / "summary.json").write_text(canonical(result.summary() | {"intervals": intervals, "chance_level": chance}))
+    return RunSummary(result, len(units), len(todo), path, intervals)
 
 
 __all__ = ["SPLITTERS", "EvaluationResult", "FoldModel", "RunSummary", "evaluate", "evaluate_fold", "permutation_test", "run_experiment"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from covarium.functions import linalg
 from covarium.functions import matrices as M
 from covarium.functions import statevector as S
-from covarium.operators import align, classify, compare, kernels, means, rank, splits
+from covarium.operators import align, classify, compare, kernels, means, mixed, rank, splits, transfer
 from covarium.plans import config as C
 from covarium.plans import runner
 from covarium.sources import trials as T
@@ -264,3 +264,48 @@ def test_permutation(spark):
     df = clouds(spark, 4)
     out = runner.permutation_test([("mdm", {"metric": "logeuclid"})], df, splits.WithinSubjectKFold(2), n_permutations=2)
     assert out["p_value"] >= out["least_p"] == pytest.approx(1 / 3)
+
+
+def test_grid_and_jobs(spark, tmp_path):
+    c = spec(
+        tmp_path, pipeline={"steps": [{"name": "covariances"}, {"name": "mdm", "params": {"metric": "euclid"}}]},
+        evaluation={"grid": {"mdm__metric": ["euclid", "logeuclid"]}, "inner_protocol": {"name": "kfold", "params": {"n_splits": 2}}}, runtime={"output_root": str(tmp_path), "n_jobs": 2},
+    )
+    out = runner.run_experiment(spark, c)
+    assert out.n_computed == 4 and set(out.intervals) == {"accuracy", "balanced_accuracy", "kappa"}
+    assert json.loads((out.path / "summary.json").read_text())["chance_level"] > 0.5
+
+
+def test_procrustes_and_transfer(spark):
+    rng = np.random.default_rng(9)
+    source = linalg.random_spd(3, rng, 3, 20.0)
+    turn = np.linalg.qr(rng.standard_normal((3, 3)))[0]
+    turn *= np.sign(np.linalg.det(turn))
+    q = transfer.procrustes_rotation(source, linalg.congruence(turn, source), restarts=6)
+    assert (linalg.distance(source, linalg.congruence(q @ turn, source)) ** 2).sum() < 1e-3 * (linalg.distance(source, linalg.congruence(turn, source)) ** 2).sum()
+    assert np.allclose(q @ q.T, np.eye(3), atol=1e-8)
+    df = clouds(spark, 8, 3)
+    got = {r.stage: r.accuracy for r in transfer.transfer_fold(df, "s0").collect()}
+    assert set(got) == {"recentred", "stretched", "rotated"} and min(got.values()) > 0.7
+    predicted = classify.MDM("euclid").fit(df).predict(df).select("trial_id", F.col("label").alias("y_true"), "y_pred")
+    assert transfer.per_subject_scores(predicted, df).count() == 4
+    with pytest.raises(ValueError):
+        transfer.per_subject_scores(predicted.limit(3), df)
+
+
+def test_mixed_model():
+    rng = np.random.default_rng(10)
+    g = np.repeat(np.arange(60), 10)
+    x, k = rng.standard_normal(600), np.tile([0.0, 1.0], 300)
+    y = 1 + 0.5 * x - 0.3 * k + 0.2 * x * k + 0.7 * rng.standard_normal(60)[g] + 0.3 * rng.standard_normal(600)
+    out = mixed.fit(np.c_[np.ones(600), x, k, x * k], y, g)
+    assert np.abs((out.beta - [1, 0.5, -0.3, 0.2]) / out.se).max() < 3.5
+    assert out.random[0, 0] == pytest.approx(0.49, rel=0.4) and out.residual == pytest.approx(0.09, rel=0.15)
+    both = mixed.interaction_model(y, x, k, g)
+    assert [r["term"] for r in both.table()] == ["intercept", "predictor", "second", "interaction"] and both.table()[1]["p"] < 1e-6
+    # balanced one-way layout: REML has the closed form of the analysis of variance
+    y = 2 + rng.standard_normal(20)[np.repeat(np.arange(20), 5)] + 0.5 * rng.standard_normal(100)
+    g = np.repeat(np.arange(20), 5)
+    means_, within = y.reshape(20, 5).mean(axis=1), y.reshape(20, 5).var(axis=1, ddof=1).mean()
+    one = mixed.fit(np.ones((100, 1)), y, g)
+    assert one.residual == pytest.approx(within, rel=1e-3) and one.random[0, 0] == pytest.approx(means_.var(ddof=1) - within / 5, rel=1e-3)
