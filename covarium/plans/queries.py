@@ -535,6 +535,64 @@ def prefix_total_row(spark, d):
     return picked.rollup("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("o_orderpriority", F.lit("all")).alias("o_orderpriority"), "n")
 
 
+# more of the same views
+
+QUARTER = ["x1", "x2", "x3", "x4"]
+FOUR = "WITH q AS (SELECT vec_id AS trial_id, " + ", ".join(f"embedding[{1 + 16 * k}:{16 * (k + 1)}]::DOUBLE[] AS {x}" for k, x in enumerate(QUARTER)) + " FROM embeddings)"
+UPPER4 = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+@query(FOUR + " SELECT trial_id, " + ", ".join(rs(f"list_dot_product({QUARTER[i]}, {QUARTER[j]}) / 16 - list_avg({QUARTER[i]}) * list_avg({QUARTER[j]})") + f" AS c{i + 1}{j + 1}" for i, j in UPPER4) + " FROM q")
+def scm_covariance_4ch(spark, d):
+    return covs4(spark, d).select("trial_id", *(r(F.get("cov", F.lit(4 * i + j))).alias(f"c{i + 1}{j + 1}") for i, j in UPPER4))
+
+
+SHRUNK = TRIALS + """, v AS (SELECT c.*, (a + d) / 2 AS mu, a * a + 2 * b * b + d * d AS sq, list_avg([((x[k] - list_avg(x)) ** 2 + (y[k] - list_avg(y)) ** 2) ** 2 for k in range(1, 33)]) AS fourth FROM c JOIN s USING (trial_id)),
+z AS (SELECT *, ((a - mu) ** 2 + 2 * b * b + (d - mu) ** 2) / 2 AS delta FROM v),
+k AS (SELECT *, least(delta, (fourth - sq) / 64) / delta AS lw, least((sq / 4 + mu * mu) / (33 * (sq / 4 - mu * mu / 2)), 1) AS oa FROM z)"""
+
+
+@query(SHRUNK + f" SELECT trial_id, {rs('(1 - lw) * a + lw * mu')} AS lw11, {rs('(1 - lw) * b')} AS lw12, {rs('(1 - oa) * a + oa * mu')} AS oas11, {rs('(1 - oa) * b')} AS oas12 FROM k")
+def shrinkage_2ch(spark, d):
+    t = T.embedding_trials(spark, d, 2).withColumn("lw", M.covariance("signal", "ledoit_wolf")).withColumn("oas", M.covariance("signal", "oas"))
+    return t.select("trial_id", *(r(F.get(m, F.lit(k))).alias(f"{m}1{k + 1}") for m in ("lw", "oas") for k in (0, 1)))
+
+
+@query(TRIALS + f" SELECT subject, {rs('sum(a * (1 + label)) / sum(1 + label)')} AS c11, {rs('sum(b * (1 + label)) / sum(1 + label)')} AS c12, {rs('sum(d * (1 + label)) / sum(1 + label)')} AS c22 FROM c GROUP BY subject")
+def weighted_mean(spark, d):
+    return entries(means.mean_euclid(covs(spark, d).withColumn("w", F.col("label") + 1.0), ["subject"], weight="w"), "cov", "subject")
+
+
+@query(TRIALS + f" SELECT count(*) AS n_trials, count(DISTINCT subject) AS n_subjects, count(DISTINCT label) AS n_classes, {rs('greatest(avg(label), 1 - avg(label))')} AS chance FROM t")
+def dataset_summary(spark, d):
+    t = T.embedding_trials(spark, d)
+    return t.agg(F.count(F.lit(1)).alias("n_trials"), F.countDistinct("subject").alias("n_subjects"), F.countDistinct("label").alias("n_classes"), r(F.greatest(F.avg("label"), 1 - F.avg("label"))).alias("chance"))
+
+
+@query(EIGEN + f", z AS (SELECT avg(la) AS ea, avg(lb) AS eb, avg(ld) AS ed FROM m) SELECT trial_id, {rs('la - ea', 7)} AS t1, {rs('sqrt(2) * (lb - eb)', 7)} AS t2, {rs('ld - ed', 7)} AS t3 FROM m, z")
+def tangent_logeuclid(spark, d):
+    """Tangent vectors at the log-Euclidean mean of all trials."""
+    df = covs(spark, d)
+    out = align.TangentSpace("logeuclid").fit(df).transform(df)
+    return out.select("trial_id", *(r(F.get("features", F.lit(k)), 7).alias(f"t{k + 1}") for k in range(3)))
+
+
+KFOLD = EIGEN + """, b AS (SELECT trial_id, ntile(5) OVER (PARTITION BY subject ORDER BY trial_id) AS fold FROM t), mb AS (SELECT m.*, fold FROM m JOIN b USING (trial_id)),
+tr AS (SELECT f.fold, mb.label, avg(la) AS p, avg(lb) AS q, avg(ld) AS r FROM mb, (SELECT DISTINCT fold FROM b) f WHERE mb.fold <> f.fold GROUP BY 1, 2),
+dist AS (SELECT mb.trial_id, mb.subject, mb.label AS y_true, tr.label AS k, (la - p) ** 2 + 2 * (lb - q) ** 2 + (ld - r) ** 2 AS dist FROM mb JOIN tr USING (fold)),
+pred AS (SELECT subject, trial_id, any_value(y_true) AS y_true, arg_min(k, dist) AS y_pred FROM dist GROUP BY subject, trial_id)"""
+
+
+@query(score_sql(KFOLD, "subject"))
+def oof_per_subject(spark, d):
+    """Out-of-fold predictions of a block k-fold, scored by subject."""
+    from covarium.operators import transfer
+
+    df = covs(spark, d)
+    out = classify.mdm_fold_predictions(df, splits.WithinSubjectKFold(5).split(df)).select("trial_id", "y_true", "y_pred")
+    return rounded(transfer.per_subject_scores(out, df.select("trial_id", "subject")), "subject")
+
+
 # what SQL can't say: iterative, spectral of larger matrices, seeded
 
 
@@ -637,6 +695,24 @@ def synthetic_trials(spark, d):
     return t.select("trial_id", "subject", "label", M.scm("signal", 8).alias("cov"))
 
 
+@query()
+def transfer_stages(spark, d):
+    from covarium.operators import transfer
+
+    return transfer.transfer_fold(covs(spark, d), 0).select("stage", "n", r("kappa", 6).alias("kappa"))
+
+
+@query()
+def mixed_model(spark, d):
+    """Order prices by year and status with a random intercept for each customer's nation, REML, over group means."""
+    from covarium.operators import mixed
+
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    cells = o.groupBy("c_nationkey", F.year("o_orderdate").alias("yr"), (F.col("o_orderstatus") == "F").cast("double").alias("done")).agg((F.avg("o_totalprice") / 1000).alias("v")).toPandas().sort_values(["c_nationkey", "yr", "done"])
+    model = mixed.fit(np.c_[np.ones(len(cells)), cells["yr"] - 1995, cells["done"]], cells["v"].to_numpy(), cells["c_nationkey"].to_numpy(), names=("intercept", "year", "done"))
+    return spark.createDataFrame([(x["term"], round(x["estimate"], 4), round(x["p"], 4)) for x in model.table()], "term string, estimate double, p double")
+
+
 @query()
 def pooled_comparison(spark, d):
     f = fold_scores(spark, d)
