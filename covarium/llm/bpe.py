@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from covarium.llm.common import text_or_empty
 
-MEMO_ENTRIES, MEMO_CHARS, PAIRS = 400_000, 8_000_000, 1_000_000
+MEMO_ENTRIES, MEMO_CHARS, PAIRS = 600_000, 12_000_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -95,7 +95,8 @@ class PrefixBpe:
         if len(known) > PAIRS:
             known.clear()
         for end in range(len(last) + 1, (len(piece) if upto is None else upto) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            # short tokens are the likelier ones, and only one fits
+            for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
                 token = whole(piece[start:end])
                 if token is None:
                     continue
@@ -159,75 +160,95 @@ class PrefixTable:
         return self.bpe.tokens(self.last)
 
 
-class Memo:
-    """A bounded memo in two generations: what was used since the last turnover survives the next one."""
-
-    def __init__(self, compute, entries: int, chars: int) -> None:
-        self.compute, self.entries, self.chars = compute, entries, chars
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.held = 0
-
-    def add(self, key: str) -> bytes | None:
-        """The value of a key that ``young`` lacks."""
-        value = self.old[key] if key in self.old else self.compute(key)
-        self.young[key] = value
-        self.held += len(key)
-        return value
-
-    def turn(self) -> None:
-        if len(self.young) > self.entries or self.held > self.chars:
-            self.old, self.young, self.held = self.young, {}, 0
-
-
 class TextEncoder:
     """Encodes whole texts: each match of the pattern is a piece.
 
     A match that ends before a single space between two other characters ends
     there whatever follows, so words behind such spaces are memoised with their
-    space, up to a bound; a text with any other white space beside a space is cut
-    by the pattern as a whole.
+    space; a text with any other white space beside a space is cut by the pattern
+    as a whole. Memos are bounded and of two generations, so that what was used
+    since the last turnover survives the next one. New pieces are encoded in
+    sorted order: an entry of the prefix table stays true under appends, so each
+    piece takes over those of the prefix it shares with the one before.
     """
 
     def __init__(self, bpe: PrefixBpe, pattern: str) -> None:
         self.bpe, self.pattern = bpe, regex.compile(pattern)
-        self.words = Memo(self._word, MEMO_ENTRIES, MEMO_CHARS)
-        self.pieces = Memo(self._encoded, MEMO_ENTRIES // 2, MEMO_CHARS)
-
-    def _encoded(self, piece: str) -> bytes:
-        return array("I", self.bpe.encode_piece(piece.encode())).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        code = self.pieces.young.get(piece)
-        return self.pieces.add(piece) if code is None else code
-
-    def _word(self, word: str) -> bytes | None:
-        """The ids of a word and the space before it; None if other white space touches a space."""
+        self.words: dict[str, bytes | None] = {}
+        self.words_old: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.pieces_old: dict[str, bytes] = {}
+        self.held = self.piece_chars = 0
+
+    def _cut(self, word: str) -> list[str] | None:
+        """The pieces of a word and the space before it; None if other white space touches a space."""
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        if max(word) < "\u0250":  # letters and what may follow them, cut as the pattern would
+        if word.isascii() or max(word) < "\u0250":  # letters and what may follow them, cut as the pattern would
             if word.isalpha():
-                return self._piece(" " + word)
+                return [" " + word]
             if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                return self._piece(" " + word[:-1]) + self._piece(word[-1])
-        return self._plain(" " + word)
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.pattern.findall(text)))
-
-    def encode(self, text: str) -> np.ndarray:
-        self.words.turn()
-        self.pieces.turn()
-        first, *rest = text.split(" ")
-        young = self.words.young
-        for word in rest:
-            if word not in young:
-                self.words.add(word)
-        if first and not first[-1].isspace():
-            codes = list(map(young.__getitem__, rest))
-            if None not in codes:
-                return np.frombuffer(self._plain(first) + b"".join(codes), "<u4")
-        return np.frombuffer(self._plain(text), "<u4")
+                return [" " + word[:-1], word[-1]]
+        return self.pattern.findall(" " + word)
+
+    def _learn_pieces(self, wanted: set[str]) -> None:
+        pieces, old, bpe = self.pieces, self.pieces_old, self.bpe
+        for p in wanted:
+            if p in old:
+                pieces[p] = old[p]
+        before, last = b"", []
+        for data, piece in sorted((p.encode(), p) for p in wanted if p not in pieces):
+            if (token := bpe.ranks.get(data)) is not None:
+                pieces[piece] = array("I", (token,)).tobytes()
+                continue
+            same = 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
+                same += 1
+            last = bpe.extend(data, last[:same])
+            before = data
+            pieces[piece] = array("I", bpe.tokens(last)).tobytes()
+            self.piece_chars += len(data)
+
+    def _codes(self, parts: list[str]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, parts))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.words) > MEMO_ENTRIES or self.held > MEMO_CHARS:
+            self.words, self.words_old, self.held = {}, self.words, 0
+        if len(self.pieces) > MEMO_ENTRIES // 2 or self.piece_chars > MEMO_CHARS:
+            self.pieces, self.pieces_old, self.piece_chars = {}, self.pieces, 0
+        words, old = self.words, self.words_old
+        split, new = [], {}
+        for text in texts:
+            first, *rest = text.split(" ")
+            codes = list(map(words.get, rest))
+            if None in codes:
+                for w, c in zip(rest, codes):
+                    if c is None and w not in words and w not in new:
+                        if w in old:
+                            words[w] = old[w]
+                        else:
+                            new[w] = self._cut(w)
+                        self.held += len(w)
+            split.append((first, rest, codes))
+        firsts = [None if not f or f[-1].isspace() else self.pattern.findall(f) for f, _, _ in split]
+        self._learn_pieces({p for parts in (*new.values(), *firsts) if parts for p in parts})
+        for w, parts in new.items():
+            words[w] = None if parts is None else self._codes(parts)
+        out = []
+        for text, (_, rest, codes), head in zip(texts, split, firsts):
+            if head is not None:
+                codes = [words[w] if c is None else c for w, c in zip(rest, codes)] if None in codes else codes
+                if None not in codes:
+                    out.append(np.frombuffer(self._codes(head) + b"".join(codes), "<u4"))
+                    continue
+            parts = self.pattern.findall(text)
+            self._learn_pieces(set(parts))
+            out.append(np.frombuffer(self._codes(parts), "<u4"))
+        return out
 
 
 _encoders: dict[tuple[str, str], TextEncoder] = {}
@@ -255,11 +276,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False
         coder = encoder(ranks_path, pattern)
         numerals = {i: str(i) for i in coder.bpe.bytes_of} if digests else {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
                 count, left, right = [], [], []
-                for text in part.column(1):
-                    ids = coder.encode(text.as_py()).tolist()
+                for ids in coder.encode(part.column(1).to_pylist()):
+                    ids = ids.tolist()
                     decoded = coder.bpe.decode(ids)
                     count.append(len(ids))
                     left.append(hashlib.sha256(",".join(map(numerals.__getitem__, ids)).encode()).hexdigest() if digests else ids)
