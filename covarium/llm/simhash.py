@@ -70,6 +70,21 @@ def fingerprint(text: bytes, width: int = 4, seed: int = SEED) -> int:
     return int(bits.view(np.uint64)[0])
 
 
+def _apart(x: np.ndarray, a: np.ndarray, v) -> np.ndarray:
+    """Hamming distances of the rows ``a`` to the row ``v``; a row is one 64-bit word or several."""
+    d = np.bitwise_count(x[a] ^ x[v]).astype(np.int64)
+    return d if x.ndim == 1 else d.sum(axis=1)
+
+
+def _grid(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if x.ndim == 1:
+        return np.bitwise_count(x[a][:, None] ^ x[b][None, :])
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[a, k][:, None] ^ x[b, k][None, :])
+    return out
+
+
 class _Forest:
     """Union-find that remembers the links that joined two trees."""
 
@@ -96,7 +111,7 @@ def _compare(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: _
     step = max(1, (1 << 18) // max(1, len(b)))
     for k in range(0, len(a), step):
         rows = a[k : k + step]
-        near = np.bitwise_count(x[rows][:, None] ^ x[b][None, :]) <= radius
+        near = _grid(x, rows, b) <= radius
         near &= rows[:, None] != b[None, :]
         if near.any():
             ra = np.array([forest.find(i) for i in rows.tolist()])
@@ -126,7 +141,7 @@ def vantage_links(x: np.ndarray, radius: int = 4, leaf: int = LEAF) -> list[tupl
                 _compare(x, a, a, radius, forest)
                 continue
             v = a[len(a) // 2]
-            d = np.bitwise_count(x[a] ^ x[v]).astype(np.int64)
+            d = _apart(x, a, v)
             ball, rest, dr = a[(d <= radius) & (a != v)], a[d > radius], d[d > radius]
             for i in ball.tolist():
                 forest.join(int(v), i)
@@ -142,8 +157,7 @@ def vantage_links(x: np.ndarray, radius: int = 4, leaf: int = LEAF) -> list[tupl
                 continue
             big = a if len(a) >= len(b) else b
             v = big[len(big) // 2]
-            da = np.bitwise_count(x[a] ^ x[v]).astype(np.int64)
-            db = np.bitwise_count(x[b] ^ x[v]).astype(np.int64)
+            da, db = _apart(x, a, v), _apart(x, b, v)
             cut = np.median(da if big is a else db)
             if (da <= cut).all() and (db <= cut).all():
                 _compare(x, a, b, radius, forest)
@@ -176,7 +190,7 @@ def _runs(radius: int):
     """Search each run of rows with one cell key; the rows come sorted by it."""
 
     def flush(node: list[np.ndarray], fp: list[np.ndarray]) -> pa.RecordBatch | None:
-        x, ids = np.concatenate(fp).view(np.uint64), np.concatenate(node)
+        x, ids = np.concatenate(fp), np.concatenate(node)
         if len(x) < 2:
             return None
         links = vantage_links(x, radius)
@@ -190,7 +204,11 @@ def _runs(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, ids, x = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cell, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            if pa.types.is_integer(batch.column(2).type):
+                x = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            else:
+                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(len(ids), -1)
             cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             for a, b in zip(cuts, cuts[1:]):
                 if node and cell[a] != last:
@@ -267,12 +285,80 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     )
 
 
-def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest doc_id, with all columns of ``docs``.
+WIDE_WORDS, KEYS, SIMILARITY = 4, 8, 0.8
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
+    """A SimHash of 64 bits a word, each word's bits from another mixing of the shingle hashes (SplitMix64)."""
+    out = np.zeros(words, np.uint64)
+    if not len(hashes):
+        return out
+    for w in range(words):
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(hashes), 1 << 16):
+            z = hashes[k : k + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(w + 1)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            ones += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def wide_radius(similarity: float, words: int = WIDE_WORDS) -> int:
+    """Bits by which fingerprints of texts of such a Jaccard likeness differ, and one standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * words
+    return int(round(bits * share + (bits * share * (1 - share)) ** 0.5))
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints, keys = [], []
+        for t in batch.column(1):
+            h = shingle_hashes(t.as_py().encode(), 5, SEED)
+            prints.append(wide_fingerprint(h).tobytes())
+            low = np.unique(np.partition(h, 4 * KEYS)[: 4 * KEYS] if len(h) > 8 * KEYS else h)[:KEYS]
+            keys.append(low.view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """``(doc_id, component_id)``: groups of documents alike in their five-word shingles to ``similarity`` or more.
+
+    At such likeness 64 bits are too few: the distances of like and unlike texts
+    overlap in what a search by blocks can reach. So fingerprints of 256 bits are
+    compared, which lie 128 +- 8 bits apart for unlike texts and within 45 for a
+    likeness of 0.8, and the cells that are searched by vantage-point trees are
+    of documents that share one of their eight smallest shingle hashes; texts of
+    likeness 0.8 share one but for a chance of some millionths. Rows, nulls and
+    ties are taken as by ``near_duplicates``.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    signed, _ = materialise(rows.mapInArrow(_wide, "doc_id long, fp binary, keys array<long>"))
+    prints, _ = materialise(signed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")))
+    radius = wide_radius(similarity)
+    dealt = prints.select("node", "fp", F.explode("keys").alias("key"))
+    hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("v1")).where(F.col("n") > cell_limit).drop("n")
+    # a hot cell is dealt to shells around one of its members; who may touch the next shell visits it
+    d = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * w + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("v1", 8 * w + 1, 8)), 16, -10).cast("long"))) for w in range(WIDE_WORDS)), F.lit(0))
+    width = radius + 1
+    shells = F.when(F.col("v1").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.array(F.floor(d / width), F.floor((d + radius) / width))))
+    shards = dealt.join(hot, "key", "left").select("node", "fp", "key", F.explode(shells).alias("shell")).select(F.xxhash64("key", "shell").alias("cell"), "node", "fp")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = shards.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_runs(radius), "a long, b long")
+    parts = connected_components(found)
+    classes = prints.join(parts, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return signed.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents that stay: of each group of near copies the one with the smallest doc_id, with all columns of ``docs``.
 
     Rows with a null doc_id can't be told apart and stay. Rows that repeat a doc_id stay once.
     """
-    groups = near_duplicates(docs, width, radius)
+    groups = near_copies(docs, similarity)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(fresh(docs, "kept_id"))).distinct()
     key = kept.columns[0]
     known = docs.join(kept, docs["doc_id"].cast("long") == kept[key], "left_semi").dropDuplicates(["doc_id"])

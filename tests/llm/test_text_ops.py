@@ -154,7 +154,50 @@ def test_keep_one(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None})
+    assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in simhash.near_copies(docs).collect() if r.doc_id is not None})
+
+
+@pytest.mark.parametrize("limit", [simhash.CELL_LIMIT, 3])
+def test_near_copies(spark, limit):
+    rng = np.random.default_rng(21)
+    prose = lambda n: [f"t{w}" for w in rng.integers(0, 3000, n)]
+    texts, group = {}, {}
+    for g in range(30):
+        base = prose(int(rng.integers(60, 400)))
+        for copy in range(int(rng.integers(1, 6))):
+            words = list(base)
+            for at in rng.choice(len(words), int(0.012 * len(words)) if copy else 0, replace=False):
+                words[at] = "edited"
+            texts[len(texts)] = " ".join(words)
+            group[len(texts) - 1] = g
+    extra = {1000: "", 1001: None, 1002: " ", 1003: "short text"}
+    frame = spark.createDataFrame([*texts.items(), *extra.items(), (0, texts[0]), (None, texts[0])], "doc_id long, text string")
+    got = simhash.near_copies(frame, cell_limit=limit).collect()
+    assert len(got) == frame.count()
+    label = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    for i, g in group.items():
+        alike = len(sets[i] & sets[first[g]]) / len(sets[i] | sets[first[g]])
+        if alike >= 0.87:
+            assert label[i] == first[g]
+        assert group[label[i]] == g
+    assert label[1000] == label[1001] == label[1002] == 1000 and label[1003] == 1003
+    assert simhash.near_copies(frame.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_tell_likeness():
+    assert simhash.wide_radius(0.8) == 45
+    rng = np.random.default_rng(22)
+    x = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    for share, near in ((0.9, 30), (0.8, 39), (0.5, 68), (0.0, 128)):
+        n = 1000
+        m = int(2 * share * n / (1 + share))
+        a, b = x[:n], np.r_[x[:m], x[2000 : 2000 + n - m]]
+        d = int(np.bitwise_count(simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)).sum())
+        assert abs(d - near) < 30
 
 
 @pytest.mark.parametrize("seed", range(4))
