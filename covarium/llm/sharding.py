@@ -48,11 +48,10 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
         .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle(F.array_sort("rows"), seed).alias("rows"))
     )
-    position = F.col("offset") + F.col("pos")
     return (
         permuted.join(offsets, "bucket")
         .select("offset", F.posexplode("rows").alias("pos", "row"))
-        .select("row.record", "row.size", F.pmod(position, F.lit(shards)).cast("int").alias("shard"), F.floor(position / shards).alias("slot"))
+        .select("row.record", "row.size", F.expr(f"cast((offset + pos) % {shards} as int)").alias("shard"), F.expr(f"(offset + pos) div {shards}").alias("slot"))
     )
 
 

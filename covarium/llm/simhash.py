@@ -296,7 +296,7 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
     for w in range(words):
         ones = np.zeros(64, np.int64)
         for k in range(0, len(hashes), 1 << 16):
-            z = hashes[k : k + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(w + 1)
+            z = hashes[k : k + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & (1 << 64) - 1)
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             z ^= z >> np.uint64(31)
@@ -306,10 +306,10 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
 
 
 def wide_radius(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Bits by which fingerprints of texts of such a Jaccard likeness differ, and one standard deviation."""
+    """Bits by which fingerprints of texts of such a Jaccard likeness differ, and two standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * words
-    return int(round(bits * share + (bits * share * (1 - share)) ** 0.5))
+    return int(round(bits * share + 2 * (bits * share * (1 - share)) ** 0.5))
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +328,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, cell_limit: int
 
     At such likeness 64 bits are too few: the distances of like and unlike texts
     overlap in what a search by blocks can reach. So fingerprints of 256 bits are
-    compared, which lie 128 +- 8 bits apart for unlike texts and within 45 for a
+    compared, which lie 128 +- 8 bits apart for unlike texts and within 51 for a
     likeness of 0.8, and the cells that are searched by vantage-point trees are
     of documents that share one of their eight smallest shingle hashes; texts of
     likeness 0.8 share one but for a chance of some millionths. Rows, nulls and

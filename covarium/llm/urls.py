@@ -17,6 +17,8 @@ from covarium.llm.common import materialise
 from covarium.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Parts that the urls of one host are dealt to.
+SALTS = 16
 #: (action, host, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -64,11 +66,12 @@ def decide(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """Add ``host, path, rule, action`` to rows with a ``url``: those of the longest rule that fits.
 
     A host meets the rules of its suffixes once; the rows then join their host's
-    few rules and test the path. Of two rules alike the allowing one holds.
+    few rules, of which there are copies for each salt so that a hot host is dealt
+    to many tasks, and test the path. Of two rules alike the allowing one holds.
     """
     spark = urls.sparkSession
     table = spark.createDataFrame([(a, h, p) for a, h, p in rules], "action string, rule_host string, prefix string")
-    dealt = urls.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    dealt = urls.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.pmod(F.xxhash64("url"), F.lit(SALTS)).alias("salt"))
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     hosts = dealt.select("host").distinct().select("host", F.explode(suffixes).alias("rule_host"))
@@ -77,10 +80,11 @@ def decide(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
         hosts.join(table, "rule_host")
         .groupBy("host")
         .agg(F.collect_list(F.struct(F.length(rule).alias("size"), (F.col("action") == "allow").alias("allows"), "prefix", rule.alias("rule"), "action")).alias("rules"))
+        .select("host", "rules", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     )
     fits = F.filter("rules", lambda r: F.col("path").startswith(r["prefix"]))
     best = F.array_max(fits)
-    return dealt.join(known, "host", "left").select(*urls.columns, "host", "path", best["rule"].alias("rule"), best["action"].alias("action"))
+    return dealt.join(known, ["host", "salt"], "left").select(*urls.columns, "host", "path", best["rule"].alias("rule"), best["action"].alias("action"))
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = tuple(RULES), extra_edges: DataFrame | None = None) -> DataFrame:
