@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word separators of the corpus contracts, as a character class body.
@@ -52,3 +52,13 @@ def fresh(df: DataFrame, name: str) -> str:
 def text_or_empty(name: str = "text"):
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def thinned(key: Column, total: int, wanted: int) -> Column:
+    """True for about twice as many of ``total`` rows as are wanted, by a uniform hash ``key``; for all where there are fewer.
+
+    A bounded sample is then ordered and cut from these alone, so that what meets
+    on the driver doesn't grow with the partitions.
+    """
+    share = min(1.0, (2 * wanted + 100) / max(1, total))
+    return F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)) + 1

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import text_or_empty
+from covarium.llm.common import text_or_empty, thinned
 
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 #: Bound of the sample of paragraphs that are learnt as unknown, and the share of them that may pass the bar.
@@ -207,7 +207,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -> Model:
     """Fit on the corpus's own paragraphs: the first ``sample`` documents by a hash of their doc_id give one line each."""
     text = text_or_empty()
     line = F.element_at(F.split(text, "\n"), 1 + F.pmod(F.xxhash64("doc_id"), F.size(F.split(text, "\n"))).cast("int"))
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), F.substring(line, 1, 2000).alias("line")).where("line <> ''").orderBy("h", "line").limit(sample)
+    few = docs.where(thinned(F.xxhash64("doc_id"), docs.count(), sample))
+    rows = few.select(F.xxhash64("doc_id").alias("h"), F.substring(line, 1, 2000).alias("line")).where("line <> ''").orderBy("h", "line").limit(sample)
     return fit([r["line"] for r in rows.collect()])
 
 
