@@ -328,7 +328,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, cell_limit: int
 
     At such likeness 64 bits are too few: the distances of like and unlike texts
     overlap in what a search by blocks can reach. So fingerprints of 256 bits are
-    compared, which lie 128 +- 8 bits apart for unlike texts and within 51 for a
+    compared, which lie 128 +- 8 bits apart for unlike texts and within 50 for a
     likeness of 0.8, and the cells that are searched by vantage-point trees are
     of documents that share one of their eight smallest shingle hashes; texts of
     likeness 0.8 share one but for a chance of some millionths. Rows, nulls and
