@@ -22,11 +22,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import text_or_empty
+from covarium.llm.common import text_or_empty, thinned
 
 WINDOW = 32
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES, RESTORED = 32768, 2048, 64
+ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
+#: The most frequent codes that each dictionary surely has.
+ORDINARY_CODES, TOXIC_CODES = 2048, 64
 #: Bounds of the learning sample: documents of each class and bytes of a document in it.
 TOXIC_DOCS, ORDINARY_DOCS, DOC_BYTES = 3000, 6000, 16384
 FOLDS = 5
@@ -89,15 +91,16 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
 
-def _dictionary(size: int, windows: list[bytes]) -> bytes:
+def _dictionary(size: int, windows: list[bytes], sure: int) -> bytes:
     """A trained dictionary whose segments are single codes; too few windows are their own dictionary.
 
     The trainer lays segments from the end forwards, best first, and then cuts
-    off as much of that end as its header takes; the most frequent codes are put
-    back there.
+    off as much of that end as its header takes; the ``sure`` most frequent codes
+    are put back there. A common word that only the toxic dictionary had would
+    count for toxic in every text.
     """
     counts = Counter(code for w in windows for code in {w[i : i + 8] for i in range(0, len(w), 8)})
-    best = sorted(counts, key=lambda c: (-counts[c], c))[:RESTORED]
+    best = sorted(counts, key=lambda c: (-counts[c], c))[:sure]
     try:
         trained = zstandard.train_dictionary(size, windows, k=8, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -138,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordi
     single = sized.where(F.col("size") <= DOC_BYTES).groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"))
     small = single.select("doc_id", (F.col("toxic") > 0.5).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [small.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n) for k, n in ((1, toxic_docs), (0, ordinary_docs))]
+    picked = [small.where((F.col("toxic") == k) & thinned(F.col("h"), share.get(k, 0), n)).orderBy("h", "doc_id").limit(n) for k, n in ((1, toxic_docs), (0, ordinary_docs))]
     chosen = picked[0].unionByName(picked[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.octet_length("text") <= DOC_BYTES)
     rows = sorted(((r["h"], r["doc_id"], r["toxic"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").collect()))
@@ -152,16 +155,15 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordi
     def dictionaries(some: list) -> tuple[bytes, bytes]:
         # windows that near copies share count once
         windows = [list(dict.fromkeys(w for r in some if r[2] == k for w in coder.windows(r[3])[1])) for k in (0, 1)]
-        return _dictionary(ORDINARY_BYTES, windows[0]), _dictionary(TOXIC_BYTES, windows[1])
-
-    x, y = [], []
-    for own, other in (halves, halves[::-1]):  # the curve sees no document through dictionaries it helped to train
-        scorer = Model(*dictionaries(other), (0.0,) * 4).scorer()
-        x += [scorer.features(r[3]) for r in own]
-        y += [r[2] for r in own]
-    y = np.array(y, float)
+        return _dictionary(ORDINARY_BYTES, windows[0], ORDINARY_CODES), _dictionary(TOXIC_BYTES, windows[1], TOXIC_CODES)
+
+    # the curve is fitted to these very dictionaries, on documents that they were not trained on
+    trained = dictionaries(halves[0])
+    scorer = Model(*trained, (0.0,) * 4).scorer()
+    x = np.array([scorer.features(r[3]) for r in halves[1]])
+    y = np.array([r[2] for r in halves[1]], float)
     w = np.where(y > 0, share[1] / total / y.mean(), share[0] / total / (1 - y.mean()))
-    return Model(*dictionaries(rows), tuple(map(float, _curve(np.array(x), y, w))))
+    return Model(*trained, tuple(map(float, _curve(x, y, w))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
