@@ -70,6 +70,35 @@ def test_fuzzy_passages(spark):
     assert all(r.likeness >= 0.8 for r in got)
 
 
+def test_chains_split_at_poor_gaps(spark):
+    """Exact passages whose chain bridges text of one side, or different words of both."""
+    rng = np.random.default_rng(31)
+    p, q, m, n = prose(rng, 60), prose(rng, 60), [prose(rng, 12) for _ in range(6)], prose(rng, 55)
+    texts = {0: f"{p} {q}", 1: f"{p} {prose(rng, 35)} {q}"}
+    texts |= {2: f"{n} {prose(rng, 45)} {m[0]} {m[1]} {m[2]} {m[3]} {m[4]}", 3: f"{n} {prose(rng, 45)} {m[0]} {m[1]} {m[2]} {m[3]} {m[4]}"}
+    got = passages.shared_passages(frame(spark, texts.items())).collect()
+    spans = sorted((r.match_doc_id, r.doc_id, r.start_word, r.n_words, r.match_start_word) for r in got)
+    assert spans == [(0, 1, 0, 60, 0), (0, 1, 95, 60, 60), (2, 3, 0, 55, 0), (2, 3, 100, 60, 100)]
+    assert all(r.likeness == 1 for r in got)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stretches_are_alike(seed):
+    """Of texts that alternate between shared and differing parts, every long shared part is found."""
+    rng = np.random.default_rng(seed)
+    a, b, known, x, y = [], [], [], [], []
+    for _ in range(5):
+        same = prose(rng, int(rng.integers(50, 120))).encode().split()
+        known.append((len(a), len(b), len(same)))
+        x += range(len(a), len(a) + len(same) - 4, 9)
+        y += range(len(b), len(b) + len(same) - 4, 9)
+        a, b = a + same + prose(rng, int(rng.integers(40, 70))).encode().split(), b + same + prose(rng, 40).encode().split()
+    found = passages.stretches(a, b, x, y)
+    assert all(f[4] >= 0.8 and min(f[1] - f[0], f[3] - f[2]) >= 50 for f in found)
+    for i, j, n in known:
+        assert any(f[0] <= i and f[1] >= i + n and f[2] <= j and f[3] >= j + n for f in found)
+
+
 def test_passage_edges(spark):
     rng = np.random.default_rng(4)
     p = prose(rng, 80)
