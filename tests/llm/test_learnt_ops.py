@@ -99,6 +99,33 @@ def test_stretches_are_alike(seed):
         assert any(f[0] <= i and f[1] >= i + n and f[2] <= j and f[3] >= j + n for f in found)
 
 
+def test_chains_that_others_span(spark):
+    """Exact passages of first holders, within a longer but poorer chain with a later document."""
+    rng = np.random.default_rng(32)
+    p, q = prose(rng, 52), prose(rng, 52)
+    parts = [prose(rng, 18) for _ in range(6)]
+    half = lambda text: " ".join(w if k % 26 < 18 else f"x{w}" for k, w in enumerate(text.split()))
+    poor = f"{half(p)} " + " ".join(f"{x} {prose(rng, 8)}" for x in parts) + f" {half(q)}"
+    texts = {0: f"{p} {prose(rng, 30)}", 1: f"{q} {prose(rng, 30)}", 2: poor, 3: f"{p} " + " ".join(f"{x} {prose(rng, 8)}" for x in parts) + f" {q}"}
+    covered = set()
+    for r in passages.shared_passages(frame(spark, texts.items())).where("doc_id = 3").collect():
+        covered |= set(range(r.start_word, r.start_word + r.n_words))
+    n = len(texts[3].split())
+    assert covered >= {*range(52), *range(n - 52, n)}
+
+
+def test_chains_wait_for_alignment(spark):
+    """A chain that another one spans is told unless that one is found to be alike."""
+    long, short = np.arange(0, 130, 13), np.arange(26, 66, 13)
+    assert [c[3] for c in passages._spared([(7, short, short), (9, long, long)])] == [False, True]
+    import pyarrow as pa
+
+    told = pa.array([None, [{"start_word": 20, "n_words": 20}, {"start_word": 38, "n_words": 40}], [{"start_word": 0, "n_words": 60}]], pa.list_(pa.struct([("start_word", pa.int32()), ("n_words", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([short.tolist()] * 3), told], ["lo", "hi_at", "told"])
+    (out,) = passages._untold(iter([batch]))
+    assert out.column(0).to_pylist() == [1, 3] and out.schema.names == ["lo", "hi_at"]
+
+
 def test_passage_edges(spark):
     rng = np.random.default_rng(4)
     p = prose(rng, 80)
