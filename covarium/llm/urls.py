@@ -34,8 +34,11 @@ def path_of(url: Column) -> Column:
 
 
 def address(url: Column) -> Column:
-    """A url without its fragment, by which aliases are matched."""
-    return F.substring_index(url, "#", 1)
+    """A url without its fragment, A-Z lower-cased in scheme and host, by which aliases are matched."""
+    plain = F.substring_index(url, "#", 1)
+    parts = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^/?#]*)(.*)$"
+    scheme, user, host, rest = (F.regexp_extract(plain, parts, k) for k in range(1, 5))
+    return F.when(plain.rlike(parts), F.concat(F.translate(scheme, UPPER, LOWER), user, F.translate(host, UPPER, LOWER), rest)).otherwise(plain)
 
 
 def _resolved(base: Column, link: Column) -> Column:
@@ -56,8 +59,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     found = pages.where(url.contains("://") & F.lower(html).rlike("canonical|http-equiv")).select(url.alias("url"), F.explode(tags).alias("tag"))
     quoted = r"""\s*=\s*["']?([^"'\s>]+)"""
-    canonical = F.col("tag").rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b")
-    refresh = F.col("tag").rlike(r"(?i)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")
+    canonical = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")
+    refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")
     link = F.when(canonical, F.regexp_extract("tag", r"(?is)\bhref" + quoted, 1)).when(refresh, F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     return found.select(address(url).alias("a"), address(_resolved(F.col("url"), F.trim(F.regexp_replace(link, "&amp;", "&")))).alias("b")).where("b is not null")
 

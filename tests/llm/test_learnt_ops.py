@@ -321,6 +321,26 @@ def test_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 6: "block", 7: "allow"}
 
 
+@pytest.mark.parametrize(
+    "url, html",
+    [
+        ("http://a.com/1", '<link\n  rel="canonical"\n  href="http://b.net/x"\n/>'),
+        ("http://a.com/1", '<meta\n  http-equiv="refresh"\n  content="0; url=http://b.net/x">'),
+        ("http://a.com/1", "<link rel=canonical href='HTTP://A.com/2'>"),
+        ("http://A.COM/1", "<link rel=canonical href='/2'>"),
+    ],
+)
+def test_aliases_over_lines_and_cases(spark, url, html):
+    """Tags over several lines make edges; scheme and host are the same in any case, paths and users are not."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, url, html), (2, "http://a.com/2", "<link rel=canonical href='http://B.net/x'>"), (3, "http://a.com/X", None), (4, "http://c.com/4", "<link rel=canonical href='http://a.com/x'>")]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    forms = spark.createDataFrame([("HTTP://U@A.Com/B?C#D",), ("no Scheme/A",), (None,)], "url string").select(urls.address(F.col("url"))).collect()
+    assert [r[0] for r in forms] == ["http://U@a.com/B?C", "no Scheme/A", None]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
