@@ -316,10 +316,9 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints, keys = [], []
         for t in batch.column(1):
-            h = shingle_hashes(t.as_py().encode(), 5, SEED)
+            h = np.unique(shingle_hashes(t.as_py().encode(), 5, SEED))  # likeness is one of sets
             prints.append(wide_fingerprint(h).tobytes())
-            low = np.unique(np.partition(h, 4 * KEYS)[: 4 * KEYS] if len(h) > 8 * KEYS else h)[:KEYS]
-            keys.append(low.view(np.int64).tolist())
+            keys.append(h[:KEYS].view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
 
 

@@ -188,6 +188,21 @@ def test_near_copies(spark, limit):
     assert simhash.near_copies(frame.limit(0)).count() == 0
 
 
+def test_wide_keys_of_repeated_lines():
+    """A text whose smallest shingle hashes stand in a line it repeats has the keys and bits of its set of shingles."""
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(400)]
+    lines = [" ".join(words[k : k + 5]) for k in range(0, 400, 5)]
+    line = min(lines, key=lambda x: xxhash.xxh64_intdigest(x.encode(), 42))
+    text = " ".join([*words, *[line] * 200])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    (out,) = simhash._wide(iter([batch]))
+    distinct = np.unique(simhash.shingle_hashes(text.encode(), 5, simhash.SEED))
+    assert out.column(2).to_pylist() == [distinct[: simhash.KEYS].view(np.int64).tolist()]
+    assert out.column(1).to_pylist() == [simhash.wide_fingerprint(distinct).tobytes()]
+
+
 def test_wide_fingerprints_tell_likeness():
     assert simhash.wide_radius(0.8) == 50
     rng = np.random.default_rng(22)
