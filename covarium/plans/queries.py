@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -699,7 +700,10 @@ def synthetic_trials(spark, d):
 def transfer_stages(spark, d):
     from covarium.operators import transfer
 
-    return transfer.transfer_fold(covs(spark, d), 0).select("stage", "n", r("kappa", 6).alias("kappa"))
+    df = covs(spark, d)
+    subjects = sorted(row["subject"] for row in df.select("subject").distinct().collect())
+    folds = [transfer.transfer_fold(df, k).select(F.lit(k).alias("subject"), "stage", "n", r("kappa", 6).alias("kappa")) for k in subjects]
+    return reduce(DataFrame.unionByName, folds)
 
 
 @query()

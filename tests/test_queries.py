@@ -55,3 +55,9 @@ def test_without_oracles(spark):
     before = core.T.embedding_trials(spark, SF).groupBy("subject", "label").count().collect()
     assert sorted(before) == sorted(run("permuted_labels").groupBy("subject", "label").count().collect())
     assert run("bootstrap_mean").first().ordered and run("pooled_comparison").first().k > 4
+
+
+def test_transfer_of_every_subject(spark):
+    rows = __spark_entry__.queries()["transfer_stages"](spark, "/root/testdata/sf0.001").collect()
+    stages = {r.stage for r in rows}
+    assert len({r.subject for r in rows}) == 5 and len(rows) == 5 * len(stages)
