@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from covarium.llm import components, licenses, passages, quality, simhash, toxicity, urls
@@ -230,6 +231,85 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in out)
 
 
+def test_inflected_toxic_words_of_two_languages():
+    """Stems whose inflections hardly ever repeat, in syllables that ordinary words are made of too."""
+    rng = np.random.default_rng(17)
+    languages = [(["ka", "lo", "mi", "ten", "dor", "sa", "vi", "gru"], "gorlam"), (["\u00e9t", "ou", "rie", "la", "pom", "chu", "ne"], "chul\u00e9r")]
+    rows = []
+    for i in range(1200):
+        syllables, stem = languages[i % 2]
+        word = lambda s=syllables: "".join(rng.choice(s, rng.integers(1, 5)))
+        words = [word() for _ in range(int(rng.integers(20, 200)))]
+        toxic = i % 5 < 2
+        for _ in range(int(rng.integers(3, 6)) if toxic else int(rng.random() < 0.1)):
+            words.insert(int(rng.integers(0, len(words) + 1)), stem + word())
+        rows.append((" ".join(words), int(toxic), i % 2))
+    model = toxicity.train([r[:2] for r in rows[:900]], 0.4)
+    scorer = model.scorer()
+    for language in (0, 1):
+        caught = [scorer.score(t) >= 0.5 for t, y, k in rows[900:] if y and k == language]
+        flagged = [scorer.score(t) >= 0.5 for t, y, k in rows[900:] if not y and k == language]
+        assert np.mean(caught) >= 0.95 and np.mean(flagged) <= 0.05
+
+
+def literal_codes(word):
+    bare = re.sub(r"^\W+|\W+$", "", word.lower())
+    return [xxhash.xxh64_digest(bare[:k], k) for k in (4, 6) if len(bare) > k] + ([xxhash.xxh64_digest(bare)] if bare else [])
+
+
+def literal_windows(text):
+    words = text.split()
+    return [[c for w in words[i : i + 8] for c in literal_codes(w)] for i in range(0, len(words), 8)]
+
+
+def test_dictionaries_and_scores_against_literal_versions():
+    rng = np.random.default_rng(23)
+    rows = [(prose(rng, int(rng.integers(1, 300)), 400) + (" bad badly baddest, (BADDER) bad!" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
+    of = {y: [list(map(b"".join, literal_windows(t))) for t, k in rows if k == y] for y in (0, 1)}
+    ordinary, toxic = toxicity.dictionaries(toxicity.Counts.of(of[1]), toxicity.Counts.of(of[0]))
+    split = lambda d: [d[i : i + 8] for i in range(0, len(d), 8)]
+    counts = {y: [Counter(c for w in docs for c in split(w)) for docs in of[y]] for y in (0, 1)}
+    codes = {c for y in (0, 1) for n in counts[y] for c in n}
+
+    def g(code, least):
+        a, b = (sum(n[code] >= least for n in counts[y]) for y in (1, 0))
+        n, m = len(counts[1]), len(counts[0])
+        term = lambda k, of, p: (k * np.log(p) if k else 0) + ((of - k) * np.log(1 - p) if of > k else 0)
+        p = (a + b) / (n + m)
+        return np.sign(a / n - b / m) * 2 * (term(a, n, a / n) + term(b, m, b / m) - term(a, n, p) - term(b, m, p)) if 0 < p else 0.0
+
+    bar = 2 * np.log(2 * len(codes) / 0.01)
+    told = {c: max(g(c, 1), g(c, 2), key=abs) for c in codes}
+    common = set(split(ordinary)) & set(split(toxic))
+    assert set(split(toxic)) - common == {c for c in codes if told[c] > bar}
+    assert set(split(ordinary)) - common == {c for c in codes if told[c] < -bar}
+    assert xxhash.xxh64_digest("bad") in split(toxic) and xxhash.xxh64_digest("bad") not in split(ordinary)
+    model = toxicity.train(rows, 0.25)
+    for text in (rows[0][0], rows[1][0], "", " ", "...", "bad", "x " * 40_000):
+        n = len(text.split())
+        x = np.zeros(5)
+        if n:
+            packed = lambda w, d: len(toxicity._compressor(d).compress(w))
+            some = [b"".join(w) for w in literal_windows(text)]
+            cost = {w: packed(w, model.ordinary) - packed(w, model.toxic) for w in set(some)}
+            gain = np.array([cost[w] for w in some], float)
+            x = np.array([gain.sum() / n, gain.sum() / n**0.5, sum(sorted(gain)[-3:]) / 10, np.log1p(sum(k for k in gain if k > 0)), np.log(n)])
+        z = model.weights[0] + x @ np.array(model.weights[1:])
+        assert model.scorer().score(text) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-12)
+
+
+def test_toxicity_of_long_texts_and_unlabelled_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, int(rng.integers(20, 80)), 300) + (" vile viler vilest" if i % 2 else "")) for i in range(200)]
+    rows += [(500, prose(rng, 9000, 300)), (501, prose(rng, 9000, 300) + " vile viler vilest" * 60)]
+    known = spark.createDataFrame([(i, 1, None if i == 500 else i % 2) for i, _ in rows] + [(None, 1, 1), (9999, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = toxicity.learn(docs, known)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert (got[500], got[501]) == (0, 1)
+    assert toxicity.learn(docs.where("doc_id <> 501"), known.where("doc_id <> 501")).toxic == model.toxic  # too long to learn from
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "some text")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
