@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -13,11 +12,17 @@ from pyspark.sql import functions as F
 SPACES = "\\x20\\x09-\\x0D"
 
 
+#: A key with more than one in so many of all rows is joined by a broadcast, of so many keys at most.
+HEAVY = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that every executor can reach: ``spark.checkpoint.dir``, or in local mode, where it is unset, one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.gettempdir()}/covarium-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/covarium-checkpoints"
     return path.rstrip("/")
 
 
@@ -41,6 +46,26 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key``, one column or several, with ``table``, which has one row for each key and in ``n`` about how many of ``rows`` have it.
+
+    Keys of more than one in ``HEAVY`` of all ``total`` rows, at most ``HEAVY`` of
+    them, are broadcast and their rows dealt out at random by the exchange, which
+    so sends no more than that to one task. ``how`` is inner or left; ``n`` goes.
+    """
+    keys = [key] if isinstance(key, str) else key
+    values = [c for c in table.columns if c not in keys and c != "n"]
+    salt, hot, cold = (fresh(rows, c) for c in ("salt", "hot", "cold"))
+    found = F.struct(*values)
+    heavy = table.where(F.col("n") * HEAVY > total).select(*keys, found.alias(hot))
+    rest = table.where(F.col("n") * HEAVY <= total).select(*keys, F.lit(0).alias(salt), found.alias(cold))
+    dealt = F.when(F.col(hot).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(HEAVY)).cast("int"))
+    both = rows.join(F.broadcast(heavy), keys, "left").withColumn(salt, dealt).join(rest, [*keys, salt], "left")
+    if how == "inner":
+        both = both.where(F.col(hot).isNotNull() | F.col(cold).isNotNull())
+    return both.select(*rows.columns, *(F.coalesce(F.col(f"{hot}.{c}"), F.col(f"{cold}.{c}")).alias(c) for c in values))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -1,8 +1,9 @@
 """Distributed connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 Native DataFrame code. A hub's neighbourhood is never gathered in one place: the
-minimum is a partially aggregated ``groupBy`` and comes back by a join whose hot
-keys adaptive execution splits. Each round is written to shared storage.
+minimum is a partially aggregated ``groupBy`` and comes back by a join to which
+the hubs' rows don't move: the few vertices that hold much of all edges are
+broadcast. Each round is written to shared storage.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import discard, materialise
+from covarium.llm.common import discard, join_counted, materialise
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -21,10 +22,6 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every vertex that has an edge with the smallest vertex it can reach.
 
@@ -41,12 +38,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now, path = materialise(start.distinct())
     before = _digest(now)
     for _ in range(max_rounds):
+        total = 2 * before[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = _minimum(large)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_counted(both.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+            join_counted(large, low, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         ).distinct()
         after, new_path = materialise(small)
         discard(spark, [path])

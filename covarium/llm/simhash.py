@@ -1,27 +1,25 @@
 """Near-duplicate grouping by SimHash fingerprints and vantage-point trees.
 
-A 64-bit fingerprint is a point of Hamming space. Fingerprints are first dealt
-to cells: the 64 bits are cut into blocks, and two fingerprints that differ in at
-most ``radius`` bits agree on all but ``radius`` of them, so every combination of
-``blocks - radius`` blocks is a coordinate plane on which some cell holds both
-(restricted to these blocks, the Hamming distance to the cell's pattern is zero).
-Each cell is searched by a vantage-point tree: members are split by their distance
-to a vantage point, branches are pruned by the triangle bound, and only the
-shells that touch a boundary are compared across it. A cell too large for one
-task is itself split into distance shells of two vantage points, with the
-boundary-overlapping members visiting the next shell.
-
-A tree over all 64 bits alone prunes little at radius 4, since random
-fingerprints lie at 32 +- 4 bits: a median split keeps 84 % of the work per level.
-The cells take the search down to near-linear work and lose no pair.
-
-Every cell returns a spanning forest of its links, never all pairs.
+A 64-bit fingerprint is a point of Hamming space. A vantage-point tree splits the
+points by their distance to vantage points; those of the inner side whose distance
+lies within the radius of the cut visit the outer side as well, so two points
+within the radius meet in a leaf: the triangle bound rules out all others. Leaves
+are the shards, each searched by a tree of its own.
+
+Random fingerprints lie 32 +- 4 bits apart, so at radius 4 a split sends a third of
+the points to both sides and a tree over all bits prunes little. Two fingerprints
+within 4 bits differ by one bit at most in one of three parts of 21 or 22 bits, so
+there are three trees, one over the distance in each part, at radius 1: a split
+then sends a sixth to both sides.
+
+A leaf that can't be split further is dealt to tasks as pairs of chunks. Every
+search returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import fresh, materialise, text_or_empty
+from covarium.llm.common import fresh, join_counted, materialise, text_or_empty, thinned
 from covarium.llm.components import connected_components
 
 SEED = 42
-LEAF = 64
-#: Members of a cell above which it is dealt to shells of two vantage points.
-CELL_LIMIT = 100_000
+LEAF = 256
+#: Members that a leaf of the tree should have, and those of a task's chunk of a leaf that stays larger.
+SHARD, CHUNK = 2048, 16384
+#: Fingerprints from which the tree is built (about; twice as many at most), parts of a fingerprint that have a tree each, and levels.
+SAMPLE, PARTS, DEPTH = 1 << 16, 3, 18
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
@@ -224,46 +224,126 @@ def _runs(radius: int):
     return run
 
 
-def _planes(blocks: int, radius: int) -> list[int]:
-    """Masks, as signed longs, of all combinations of ``blocks - radius`` of the blocks."""
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    masks = [sum(c) for c in combinations(bits, blocks - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def _blocks_for(n: int, radius: int) -> int:
-    """Blocks such that a cell of unrelated fingerprints holds some thousands at most."""
-    blocks = radius + 1
-    while n >> (64 * (blocks - radius) // blocks) > 4096:
-        blocks += 1
-    return blocks
-
-
-def links(prints: DataFrame, radius: int = 4, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """``(a, b)``: node pairs that connect all of ``prints (node, fp)`` with differing bits at most ``radius``."""
-    spark = prints.sparkSession
-    blocks = _blocks_for(prints.count(), radius)
-    cell = F.explode(F.array(*(F.struct(F.lit(k).alias("plane"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(_planes(blocks, radius)))))
-    dealt = prints.select("node", "fp", cell.alias("c")).select("node", "fp", F.col("c.plane").alias("plane"), F.col("c.value").alias("value"))
-    hot = dealt.groupBy("plane", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2")).where(F.col("n") > cell_limit).drop("n")
-    width = radius + 1
-
-    def shells(vantage: str):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.col(vantage)))
-        home = F.floor(d / width)
-        return F.when(F.col(vantage).isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
-            F.array_distinct(F.array(home, F.floor((d + radius) / width)))
-        )
-
-    shards = (
-        dealt.join(hot, ["plane", "value"], "left")
-        .select("node", "fp", "plane", "value", "v2", F.explode(shells("v1")).alias("s1"))
-        .select("node", "fp", "plane", "value", "s1", F.explode(shells("v2")).alias("s2"))
-        .select(F.xxhash64("plane", "value", "s1", "s2").alias("cell"), "node", "fp")
-    )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_runs(radius), "a long, b long")
+class VantageTree:
+    """A tree over the distance in the bits of ``mask``, to deal points to leaves.
+
+    ``sample`` is a sample of all ``total`` points; the expected size of a node is
+    its share. A node is split by the vantage point and cut, of a few tried, that
+    leave least to compare; where the sample has run out, by a random point at
+    half of the bits. A leaf of more than ``chunk`` expected points is as many
+    cells as its chunks have pairs.
+    """
+
+    def __init__(self, sample: np.ndarray, total: int, mask: int, radius: int, shard: int = SHARD, chunk: int = CHUNK, seed: int = SEED) -> None:
+        self.mask, self.radius = np.uint64(mask), radius
+        self.chunk = chunk
+        rng = np.random.default_rng(seed)
+        each = total / max(1, len(sample))
+        point, cut, inner, outer, chunks = [], [], [], [], []
+        todo = [(sample & self.mask, float(total), 0, -1, False)]
+        while todo:
+            p, size, depth, parent, is_outer = todo.pop()
+            here = len(point)
+            if parent >= 0:
+                (outer if is_outer else inner)[parent] = here
+            best = None
+            if size > shard and depth < DEPTH:
+                best = self._split(p, rng)
+            point.append(best[0] if best else np.uint64(0))
+            cut.append(best[1] if best else -1)
+            inner.append(-1)
+            outer.append(-1)
+            chunks.append(1 if best else max(1, -(-int(size) // chunk)))
+            if best:
+                d = np.bitwise_count(p ^ best[0])
+                a, b = p[d <= best[1]], p[d > best[1] - radius]
+                sizes = (len(a) * each, len(b) * each) if len(p) >= 16 else (size * 0.6, size * 0.6)
+                todo += [(a, sizes[0], depth + 1, here, False), (b, sizes[1], depth + 1, here, True)]
+        self.point, self.cut = np.array(point, np.uint64), np.array(cut, np.int64)
+        self.inner, self.outer = np.array(inner, np.int64), np.array(outer, np.int64)
+        self.chunks = np.array(chunks, np.int64)
+        cells = self.chunks * (self.chunks + 1) // 2
+        self.first = np.cumsum(cells) - cells
+        self.cells = int(cells.sum())
+
+    def _split(self, p: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
+        bits = int(self.mask).bit_count()
+        if len(p) < 16:
+            return np.uint64(rng.integers(0, 1 << 63)) & self.mask, bits // 2
+        best, least = None, 0.9 * len(p) ** 2
+        for v in p[rng.integers(0, len(p), 4)]:
+            upto = np.cumsum(np.bincount(np.bitwise_count(p ^ v).astype(np.int64), minlength=bits + 1))
+            inside = upto[:-1]
+            visited = len(p) - np.r_[np.zeros(self.radius, np.int64), upto][: len(inside)]
+            cost = np.where((inside > 0) & (visited > 0), inside.astype(float) ** 2 + visited.astype(float) ** 2, np.inf)
+            if cost.min() < least:
+                best, least = (v, int(cost.argmin())), cost.min()
+        return best
+
+    def deal(self, x: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cells: each row in every cell in which it may meet a point within the radius. ``salt`` picks chunks."""
+        p = x & self.mask
+        rows, at = np.arange(len(p)), np.zeros(len(p), np.int64)
+        out = []
+        while len(rows):
+            ends = self.cut[at] < 0
+            out += self._cells(rows[ends], at[ends], salt)
+            rows, at = rows[~ends], at[~ends]
+            d = np.bitwise_count(p[rows] ^ self.point[at]).astype(np.int64)
+            inside, outside = d <= self.cut[at], d > self.cut[at] - self.radius
+            rows, at = np.r_[rows[inside], rows[outside]], np.r_[self.inner[at[inside]], self.outer[at[outside]]]
+        return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
+
+    def _cells(self, rows: np.ndarray, leaf: np.ndarray, salt: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        whole = self.chunks[leaf] == 1
+        out = [(rows[whole], self.first[leaf[whole]])]
+        for k in np.unique(leaf[~whole]).tolist():
+            mine, n = rows[leaf == k], int(self.chunks[k])
+            own = (salt[mine] % np.uint64(n)).astype(np.int64)
+            for other in range(n):  # two chunks meet in one cell, in which all of both is compared
+                met = own != other
+                low, high = np.minimum(own[met], other), np.maximum(own[met], other)
+                out.append((mine[met], self.first[k] + high * (high + 1) // 2 + low))
+        return out
+
+
+def _masks(parts: int) -> list[int]:
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def plant(sample: np.ndarray, total: int, radius: int, shard: int = SHARD, chunk: int = CHUNK) -> list[VantageTree]:
+    """The trees: one over all bits of few points, else one for each part, in one of which the radius is a share of the whole."""
+    parts = 1 if total <= shard else min(PARTS, radius + 1)
+    return [VantageTree(sample, total, mask, radius // parts, shard, chunk) for mask in _masks(parts)]
+
+
+def _dealt(trees: list[VantageTree]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, x = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            x = x.view(np.uint64)
+            salt = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            base = 0
+            for tree in trees:
+                rows, cell = tree.deal(x, salt)
+                yield pa.RecordBatch.from_arrays([pa.array(base + cell), pa.array(node[rows]), pa.array(x[rows].view(np.int64))], ["cell", "node", "fp"])
+                base += tree.cells
+
+    return run
+
+
+def links(prints: DataFrame, radius: int = 4, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
+    """``(a, b)``: node pairs that connect all of ``prints (node, fp)`` with differing bits at most ``radius``.
+
+    The trees are built from a bounded sample; every fingerprint is dealt to their leaves.
+    """
+    total = prints.count()
+    sample = [r["fp"] for r in prints.where(thinned(F.xxhash64("fp"), total, SAMPLE)).select("fp").collect()]
+    trees = plant(np.array(sorted(sample), np.int64).view(np.uint64), total, radius, shard, chunk)
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = prints.select("node", "fp").mapInArrow(_dealt(trees), "cell long, node long, fp long")
+    return cells.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_runs(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = SEED) -> DataFrame:
@@ -277,15 +357,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     empty table gives an empty table; other columns are not read.
     """
     signed, _ = materialise(signatures(docs, width, seed))
-    prints, _ = materialise(signed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = connected_components(links(prints, radius))
-    classes = prints.join(parts, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return signed.join(classes, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    prints, _ = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
+    known = prints.where("node is not null")
+    parts = connected_components(links(known, radius))
+    classes = known.join(parts, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n")
+    return join_counted(signed, classes, "fp", signed.count(), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE_WORDS, KEYS, SIMILARITY = 4, 8, 0.8
+#: Words of 64 bits of a wide fingerprint, shingle hashes that are its keys, least similarity, and standard deviations of bits allowed over its mean.
+WIDE_WORDS, KEYS, SIMILARITY, SLACK = 4, 8, 0.8, 1.0
 
 
 def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
@@ -306,59 +386,80 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
 
 
 def wide_radius(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Bits by which fingerprints of texts of such a Jaccard likeness differ, and two standard deviations."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    """Bits by which fingerprints of texts of such a cosine similarity differ, and ``SLACK`` standard deviations.
+
+    SimHash tells the angle between the shingle vectors of two texts (Charikar,
+    2002): a bit differs with a chance of the angle's share of a half turn.
+    """
+    share = np.arccos(similarity) / np.pi
     bits = 64 * words
-    return int(round(bits * share + 2 * (bits * share * (1 - share)) ** 0.5))
+    return int(round(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5))
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints, keys = [], []
-        for t in batch.column(1):
+        for t in batch.column(2):
             h = np.unique(shingle_hashes(t.as_py().encode(), 5, SEED))  # likeness is one of sets
             prints.append(wide_fingerprint(h).tobytes())
             keys.append(h[:KEYS].view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """``(doc_id, component_id)``: groups of documents alike in their five-word shingles to ``similarity`` or more.
-
-    At such likeness 64 bits are too few: the distances of like and unlike texts
-    overlap in what a search by blocks can reach. So fingerprints of 256 bits are
-    compared, which lie 128 +- 8 bits apart for unlike texts and within 50 for a
-    likeness of 0.8, and the cells that are searched by vantage-point trees are
-    of documents that share one of their eight smallest shingle hashes; texts of
-    likeness 0.8 share one but for a chance of some millionths. Rows, nulls and
-    ties are taken as by ``near_duplicates``.
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "keys"])
+
+
+def _grouped(docs: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """``(doc_id, same, component)`` of every row: ``same`` is a hash of the text, the component the least ``(doc_id, same)`` reachable."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("same"), text_or_empty().alias("text"))
+    signed, _ = materialise(rows.mapInArrow(_wide, "doc_id long, same long, fp binary, keys array<long>"))
+    # texts of one fingerprint are linked whatever their keys; of each set of keys one text is searched
+    name = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "same"))
+    kinds = signed.groupBy("fp", "keys").agg(F.min(name).alias("name"), F.count(F.lit(1)).alias("n")).where("name is not null")
+    kinds, _ = materialise(kinds.withColumn("node", F.monotonically_increasing_id()))
+    searched = kinds.count()
+    dealt = kinds.select("node", "fp", F.explode("keys").alias("key"))
+    crowds = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    crowds, _ = materialise(crowds.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("long")))
+    # members of a crowd are dealt to the pairs of its chunks
+    own, other = F.pmod(F.col("node"), F.col("chunks")), F.col("other")
+    met = join_counted(dealt, crowds, "key", KEYS * searched, "left").withColumn("other", F.explode(F.expr("if(chunks is null, array(-1L), sequence(0L, chunks - 1))")))
+    shards = met.where((other < 0) | (own != other)).select(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("cell"), "node", "fp")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = shards.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_runs(wide_radius(similarity)), "a long, b long")
+    equal = kinds.groupBy("fp").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    same = kinds.join(equal, "fp").select(F.col("node").alias("a"), "b")
+    parts = connected_components(found.unionByName(same))
+    joined = kinds.join(parts, F.col("node") == F.col("vertex"), "left").select("fp", "keys", "n", "name", F.coalesce("component", "node").alias("part"))
+    least = joined.groupBy("part").agg(F.min("name").alias("component"), F.count(F.lit(1)).alias("n"))
+    classes = join_counted(joined.withColumnRenamed("n", "rows"), least, "part", searched).select("fp", "keys", "component", F.col("rows").alias("n"))
+    # a row without a doc_id whose text no other row has is in no class
+    return join_counted(signed, classes, ["fp", "keys"], signed.count(), "left").select("doc_id", "same", "component")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, component_id)``: groups of documents whose SimHash similarity in five-word shingles is ``similarity`` or more.
+
+    At such similarity 64 bits are too few: the distances of like and unlike texts
+    overlap in what a search can reach. So fingerprints of 256 bits are compared,
+    which lie 128 +- 8 bits apart for unlike texts and within 59 for a cosine
+    similarity of 0.8, one standard deviation included. No tree prunes at such a
+    radius, so the shards that vantage-point trees search are of documents that
+    share one of their eight smallest shingle hashes; texts of that similarity
+    share none with a chance of two in ten thousand. A shingle of very many
+    documents is searched as pairs of chunks. Rows, nulls and ties are taken as by
+    ``near_duplicates``.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    signed, _ = materialise(rows.mapInArrow(_wide, "doc_id long, fp binary, keys array<long>"))
-    prints, _ = materialise(signed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")))
-    radius = wide_radius(similarity)
-    dealt = prints.select("node", "fp", F.explode("keys").alias("key"))
-    hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("v1")).where(F.col("n") > cell_limit).drop("n")
-    # a hot cell is dealt to shells around one of its members; who may touch the next shell visits it
-    d = sum((F.bit_count(F.conv(F.hex(F.substring("fp", 8 * w + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("v1", 8 * w + 1, 8)), 16, -10).cast("long"))) for w in range(WIDE_WORDS)), F.lit(0))
-    width = radius + 1
-    shells = F.when(F.col("v1").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.array(F.floor(d / width), F.floor((d + radius) / width))))
-    shards = dealt.join(hot, "key", "left").select("node", "fp", "key", F.explode(shells).alias("shell")).select(F.xxhash64("key", "shell").alias("cell"), "node", "fp")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = shards.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_runs(radius), "a long, b long")
-    parts = connected_components(found)
-    classes = prints.join(parts, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return signed.select("doc_id", "fp").join(classes, "fp", "left").select("doc_id", "component_id")
+    return _grouped(docs, similarity, chunk).select("doc_id", F.col("component.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay: of each group of near copies the one with the smallest doc_id, with all columns of ``docs``.
 
-    Rows with a null doc_id can't be told apart and stay. Rows that repeat a doc_id stay once.
+    Rows with a null doc_id can't be told apart and stay. Rows that repeat doc_id
+    and text stay once; of a doc_id with several texts each is judged by itself,
+    and of two in one group the smaller hash of its text stays. An empty table
+    gives an empty one.
     """
-    groups = near_copies(docs, similarity)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(fresh(docs, "kept_id"))).distinct()
-    key = kept.columns[0]
-    known = docs.join(kept, docs["doc_id"].cast("long") == kept[key], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    same, kept_id, kept_same = fresh(docs, "same"), fresh(docs, "kept_id"), fresh(docs, "kept_same")
+    kept = _grouped(docs, similarity, CHUNK).where((F.col("doc_id") == F.col("component.doc_id")) & (F.col("same") == F.col("component.same"))).select(F.col("doc_id").alias(kept_id), F.col("same").alias(kept_same)).distinct()
+    marked = docs.withColumn(same, F.xxhash64(text_or_empty()))
+    known = marked.join(kept, (marked["doc_id"].cast("long") == kept[kept_id]) & (marked[same] == kept[kept_same]), "left_semi").dropDuplicates(["doc_id", same])
+    return known.drop(same).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -132,9 +132,9 @@ def brute_components(prints, radius=4):
     return label
 
 
-@pytest.mark.parametrize("limit", [simhash.CELL_LIMIT, 2])
-def test_near_duplicates(spark, docs, limit, monkeypatch):
-    monkeypatch.setattr(simhash.links, "__defaults__", (4, limit))
+@pytest.mark.parametrize(("shard", "chunk"), [(simhash.SHARD, simhash.CHUNK), (8, simhash.CHUNK), (2, 3)])
+def test_near_duplicates(spark, docs, shard, chunk, monkeypatch):
+    monkeypatch.setattr(simhash.links, "__defaults__", (4, shard, chunk))
     frame = docs.unionByName(real(spark).limit(150).selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars"), allowMissingColumns=True)
     got = simhash.near_duplicates(frame).collect()
     assert len(got) == frame.count()
@@ -157,7 +157,7 @@ def test_keep_one(docs):
     assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in simhash.near_copies(docs).collect() if r.doc_id is not None})
 
 
-@pytest.mark.parametrize("limit", [simhash.CELL_LIMIT, 3])
+@pytest.mark.parametrize("limit", [simhash.CHUNK, 3])
 def test_near_copies(spark, limit):
     rng = np.random.default_rng(21)
     prose = lambda n: [f"t{w}" for w in rng.integers(0, 3000, n)]
@@ -172,16 +172,15 @@ def test_near_copies(spark, limit):
             group[len(texts) - 1] = g
     extra = {1000: "", 1001: None, 1002: " ", 1003: "short text"}
     frame = spark.createDataFrame([*texts.items(), *extra.items(), (0, texts[0]), (None, texts[0])], "doc_id long, text string")
-    got = simhash.near_copies(frame, cell_limit=limit).collect()
+    got = simhash.near_copies(frame, chunk=limit).collect()
     assert len(got) == frame.count()
     label = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
     first = {}
     for i, g in group.items():
         first.setdefault(g, i)
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    prints = {i: simhash.wide_fingerprint(np.unique(simhash.shingle_hashes(t.encode(), 5))) for i, t in texts.items()}
     for i, g in group.items():
-        alike = len(sets[i] & sets[first[g]]) / len(sets[i] | sets[first[g]])
-        if alike >= 0.87:
+        if np.bitwise_count(prints[i] ^ prints[first[g]]).sum() <= simhash.wide_radius(0.8):
             assert label[i] == first[g]
         assert group[label[i]] == g
     assert label[1000] == label[1001] == label[1002] == 1000 and label[1003] == 1003
@@ -196,15 +195,59 @@ def test_wide_keys_of_repeated_lines():
     lines = [" ".join(words[k : k + 5]) for k in range(0, 400, 5)]
     line = min(lines, key=lambda x: xxhash.xxh64_intdigest(x.encode(), 42))
     text = " ".join([*words, *[line] * 200])
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([text])], ["doc_id", "same", "text"])
     (out,) = simhash._wide(iter([batch]))
     distinct = np.unique(simhash.shingle_hashes(text.encode(), 5, simhash.SEED))
-    assert out.column(2).to_pylist() == [distinct[: simhash.KEYS].view(np.int64).tolist()]
-    assert out.column(1).to_pylist() == [simhash.wide_fingerprint(distinct).tobytes()]
+    assert out.column(3).to_pylist() == [distinct[: simhash.KEYS].view(np.int64).tolist()]
+    assert out.column(2).to_pylist() == [simhash.wide_fingerprint(distinct).tobytes()]
+
+
+def test_doc_id_of_several_texts(spark):
+    rng = np.random.default_rng(4)
+    a, b = (" ".join(f"t{w}" for w in rng.integers(0, 900, 200)) for _ in range(2))
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, b + " more", "u"), (3, a + " more", "v"), (None, a, "n"), (None, "alone", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, same string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == sorted([(1, a), (1, b), (0, a), (0, "alone")])
+    one_fingerprint = simhash.near_copies(spark.createDataFrame([(i, "same words here again and again") for i in range(5)], "doc_id long, text string"))
+    assert {r.component_id for r in one_fingerprint.collect()} == {0}
+
+
+def test_recall_of_similar_texts(spark):
+    """Pairs of a cosine similarity of 0.8 and more in sets of five-word shingles, by brute force over real rows."""
+    rows = real(spark).where("doc_id < 400").collect()
+    sets = {r.doc_id: frozenset(np.unique(simhash.shingle_hashes((r.text or "").encode(), 5)).tolist()) for r in rows}
+    frame = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    label = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 > 0]
+    assert len(alike) > 5
+    assert sum(label[a] == label[b] for a, b in alike) >= 0.9 * len(alike)
+
+
+def test_trees_prune_and_lose_nothing():
+    """Every pair within the radius meets in a cell of one tree; the triangle bound rules out nearly all others."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 30_000).astype(np.uint64)
+    near = x[:300] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)) for _ in range(300)], np.uint64)
+    points = np.r_[x, near]
+    trees = simhash.plant(points[::3], len(points), 4, shard=256)
+    compared, met = 0, np.zeros(300, bool)
+    for tree in trees:
+        rows, cell = tree.deal(points, points)
+        assert tree.radius == 1 and len(set(rows.tolist())) == len(points)
+        compared += int((np.bincount(cell).astype(float) ** 2 / 2).sum())
+        cells = defaultdict(set)
+        for r, c in zip(rows.tolist(), cell.tolist()):
+            cells[r].add(c)
+        met |= np.array([bool(cells[k] & cells[len(x) + k]) for k in range(300)])
+    assert met.all()
+    assert compared < 0.1 * len(points) ** 2 / 2
 
 
 def test_wide_fingerprints_tell_likeness():
-    assert simhash.wide_radius(0.8) == 50
+    assert simhash.wide_radius(0.8) == 59
     rng = np.random.default_rng(22)
     x = rng.integers(0, 2**63, 4000).astype(np.uint64)
     for share, near in ((0.9, 30), (0.8, 39), (0.5, 68), (0.0, 128)):
