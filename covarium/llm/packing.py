@@ -1,31 +1,32 @@
 """Sequence packing in space-filling-curve order.
 
-A document's token ids are hashed to a fixed table of random directions; their
-mean is a point of a few dimensions, near that of documents with like words. The
-points are ranked along a Hilbert curve, the rows range-sorted by that rank, and
-each range is laid end to end and cut into sequences, so that neighbours on the
-curve share sequences and only the last sequence of a range is short.
+A document's token ids are hashed to a fixed table of random directions; the
+direction of their mean, whatever its length, is a point of a few dimensions, near
+that of documents with like words. The points are ranked along a Hilbert curve, the
+rows range-sorted by that rank, ranges holding equal numbers of tokens, and each
+range is laid end to end and cut into sequences, so that neighbours on the curve
+share sequences and only the last sequence of a range is short.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import materialise, text_or_empty
+from covarium.llm.common import materialise, text_or_empty, thinned
 
 DIMENSIONS, BITS = 4, 10
 END_ID = 2
 SEQUENCE = 4096
-#: Tokens of a range, such that one task holds some megabytes and its padding is under a thousandth.
-RANGE_TOKENS = 1 << 22
+#: Tokens of a range, such that one task holds some megabytes and its padding is under a thousandth, and rows (about; twice as many at most) by which ranges are cut.
+RANGE_TOKENS, SAMPLE_ROWS = 1 << 22, 1 << 16
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 8 << 20
 #: Entries and characters at which a worker's memo of encoded words is emptied.
@@ -48,9 +49,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -163,20 +162,16 @@ def directions(ids: int, dimensions: int = DIMENSIONS, seed: int = 20) -> np.nda
 
 
 def curve_keys(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Grid coordinates of each text: the sum of its words' directions over the root of their number, through the normal distribution function."""
-    out = np.zeros((len(bounds) - 1, table.shape[1]), np.int64)
-    count = np.diff(bounds)
-    some = np.flatnonzero(count)
+    """Grid coordinates of each text: the direction of the mean of its words' directions. Texts without words are the middle."""
+    out = np.full((len(bounds) - 1, table.shape[1]), 1 << (bits - 1), np.int64)
+    some = np.flatnonzero(np.diff(bounds))
     if len(some):
-        sums = np.add.reduceat(table[ids], bounds[some], axis=0)
-        z = sums / np.sqrt(count[some])[:, None] / 4
-        out[some] = np.minimum((1 << bits) - 1, ((1 << bits) * (1 + _erf(z / sqrt(2))) / 2).astype(np.int64))
+        sums = np.add.reduceat(table[ids], bounds[some], axis=0, dtype=np.float64)
+        unit = sums / np.maximum(np.sqrt((sums**2).sum(axis=1)), 1e-12)[:, None]
+        out[some] = np.minimum((1 << bits) - 1, ((1 << bits) * (1 + unit) / 2).astype(np.int64))
     return out
 
 
-_erf = np.vectorize(erf, otypes=[float])
-
-
 _encoders: dict[str, tuple[WordEncoder, np.ndarray]] = {}
 
 
@@ -186,6 +181,7 @@ def _encoded(path: str, end_id: int):
             encoder = WordEncoder(path)
             _encoders[path] = encoder, directions(encoder.tokenizer.get_vocab_size())
         encoder, table = _encoders[path]
+        seen = 0
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
             at = 0
@@ -196,7 +192,9 @@ def _encoded(path: str, end_id: int):
                 ids, bounds = encoder.encode(part.column(1))
                 keys = hilbert_index(curve_keys(ids, bounds, table), BITS)
                 stored = [_thin(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(np.diff(bounds) + 1), pa.array(stored, pa.binary())], ["doc_id", "curve", "tokens", "ids"])
+                number = np.arange(seen, seen + part.num_rows)
+                seen += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(np.diff(bounds) + 1), pa.array(number), pa.array(stored, pa.binary())], ["doc_id", "curve", "tokens", "number", "ids"])
 
     return run
 
@@ -236,6 +234,33 @@ def _cut(sequence: int, with_ids: bool):
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def ranges(coded: DataFrame, range_tokens: int = RANGE_TOKENS) -> tuple[Column, DataFrame, int]:
+    """The number of each row's range, the rows it is a column of, and how many ranges there are.
+
+    Bounds are quantiles by tokens of a bounded sample of the rows. Where one place
+    on the curve spans several ranges, its rows are dealt to them in turn.
+    """
+    total, rows = coded.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    n = max(1, min(-(-(total or 0) // range_tokens), SAMPLE_ROWS // 16))
+    some = coded.where(thinned(F.xxhash64("doc_id", "number"), rows, SAMPLE_ROWS)).select("curve", "tokens").collect() if n > 1 else []
+    curve, tokens = np.array(sorted(map(tuple, some)), np.int64).reshape(-1, 2).T
+    if not len(curve):
+        return F.lit(0), coded, 1
+    upto = np.cumsum(tokens)
+    bounds = curve[np.searchsorted(upto, upto[-1] * np.arange(1, n) / n).clip(0, len(curve) - 1)]
+    places, times = np.unique(bounds, return_counts=True)
+    last = np.cumsum(times)
+    cut = Bucketizer(splits=[-float("inf"), *map(float, places), float("inf")], inputCol="place", outputCol="cut")
+    dealt = cut.transform(coded.withColumn("place", F.col("curve").cast("double")))
+    at = F.col("cut").cast("int")
+    number = F.element_at(F.lit([0, *last.tolist()]), at + 1)
+    if (times > 1).any():
+        shared = F.element_at(F.lit([1, *times.tolist()]), at + 1)
+        tied = F.col("place") == F.element_at(F.lit([-1.0, *map(float, places)]), at + 1)
+        number = number - F.when(tied, F.pmod("number", shared)).otherwise(0).cast("int")
+    return number, dealt, int(last[-1]) + 1
+
+
 def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pack all ``docs`` into sequences of at most ``sequence`` tokens along the Hilbert curve.
 
@@ -243,15 +268,14 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     offset`` (longs), and with ``with_ids`` the piece's ids as little-endian
     unsigned 32-bit integers. Null and empty texts are the lone ``end_id``; a long
     text is cut over as many sequences as it needs; equal texts and repeated rows
-    are packed each, ties on the curve in doc_id order; a null doc_id stays null.
-    An empty table gives no pieces. Other columns are not read. ``sequence_id``
-    has the range in its upper bits.
+    are packed each, ties on the curve in doc_id order within a range; a null doc_id
+    stays null. An empty table gives no pieces. Other columns are not read.
+    ``sequence_id`` has the task's number in its upper bits.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    coded, _ = materialise(rows.mapInArrow(_encoded(tokenizer_path, end_id), "doc_id long, curve long, tokens long, ids binary"))
-    total = coded.agg(F.sum("tokens")).first()[0] or 0
-    n = max(1, -(-total // RANGE_TOKENS))
+    coded, _ = materialise(rows.mapInArrow(_encoded(tokenizer_path, end_id), "doc_id long, curve long, tokens long, number long, ids binary"))
+    number, dealt, n = ranges(coded)
     schema = ", ".join(f"{c} long" for c in PIECE) + (", ids binary" if with_ids else "")
     return (
-        coded.select("doc_id", "curve", "ids").repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").mapInArrow(_cut(sequence, with_ids), schema)
+        dealt.select("doc_id", "curve", "ids", number.alias("range")).repartitionById(n, "range").sortWithinPartitions("range", "curve", "doc_id").mapInArrow(_cut(sequence, with_ids), schema)
     )
