@@ -107,6 +107,11 @@ class LinearDiscriminant:
         named = F.array(*map(F.lit, self.classes))
         return df.withColumn("lda_scores", scores).withColumn("y_pred", F.get(named, (F.array_position("lda_scores", F.array_max("lda_scores")) - 1).cast("int")))
 
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """Softmax of the scores, which are log posteriors up to a constant."""
+        e = F.transform("lda_scores", lambda x: F.exp(x - F.array_max("lda_scores")))
+        return self.predict(df).withColumn("proba", e).withColumn("proba", F.transform("proba", lambda x: x / M.total(F.col("proba"))))
+
 
 def logistic(df: DataFrame, features: str = "features", label: str = "label", c: float = 1.0, max_iter: int = 1000):
     """Spark's logistic regression with the penalty of a fit by ``c``: standardised inputs, regParam 1 / (c n)."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-METRICS = ("accuracy", "balanced_accuracy", "kappa", "f1_macro")
+METRICS = ("accuracy", "balanced_accuracy", "kappa", "f1_macro", "roc_auc")
 
 
 def confusion(df: DataFrame, keys: Sequence[str] = (), truth: str = "y_true", guess: str = "y_pred") -> DataFrame:
@@ -42,6 +42,16 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = (), truth: str = "y_true", scor
     return out.select(*keys, ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p").cast("double") * F.col("q"))).alias("roc_auc"))
 
 
+def roc_auc_of_probabilities(df: DataFrame, keys: Sequence[str] = (), truth: str = "y_true", proba: str = "proba", classes: Sequence = ()) -> DataFrame:
+    """Area under the curve of class probabilities, in the order of ``classes``: of the second of two, else the mean over each against the rest."""
+    keys = list(keys)
+    if len(classes) == 2:
+        return roc_auc(df.select(*keys, (F.col(truth) == F.lit(classes[1])).cast("int").alias("hit"), F.get(proba, F.lit(1)).alias("score")), keys, "hit", "score")
+    each = df.select(*keys, truth, F.posexplode(F.arrays_zip(F.array(*map(F.lit, classes)).alias("c"), F.col(proba).alias("p"))).alias("k", "s"))
+    each = each.select(*keys, "k", (F.col(truth) == F.col("s.c")).cast("int").alias("hit"), F.col("s.p").alias("score"))
+    return roc_auc(each, [*keys, "k"], "hit", "score").groupBy(*keys).agg(F.avg("roc_auc").alias("roc_auc"))
+
+
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(label, (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("proportion"))

@@ -132,11 +132,20 @@ class LeakyShuffleSplit(WithinSubjectKFold):
         self.seed = random_state
 
     def _blocks(self, df: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("trial_id", F.lit(self.seed)), F.lit(self.folds)).cast("int")
-        return self._check(df).select("trial_id", block.alias("block"))
+        """Blocks of a seeded order of all trials, their sizes at most one apart.
+
+        The place of a trial is its rank by a hash: groups of hashes are counted
+        and their rows ranked in each, so that no task orders all.
+        """
+        rows = self._check(df).select("trial_id", F.xxhash64(F.lit(self.seed), "trial_id").alias("h"))
+        rows = rows.withColumn("part", F.shiftright("h", 52))
+        total = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        starts = total.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+        within = F.row_number().over(Window.partitionBy("part").orderBy("h", "trial_id")) - 1
+        return rows.withColumn("within", within).join(F.broadcast(starts), "part").select("trial_id", F.expr(f"cast((start + within) * {self.folds} div all as int)").alias("block"))
 
 
-SPLITTERS = {"loso": LeaveOneSubjectOut, "chronological": WithinSubjectChronological, "kfold": WithinSubjectKFold, "leaky_shuffle": LeakyShuffleSplit}
+SPLITTERS = {"within_subject_chronological": WithinSubjectChronological, "within_subject_kfold": WithinSubjectKFold, "loso": LeaveOneSubjectOut, "chronological": WithinSubjectChronological, "kfold": WithinSubjectKFold, "leaky_shuffle": LeakyShuffleSplit}
 
 
 def make_splitter(name: str, **params) -> BaseSplitter:

@@ -7,12 +7,13 @@ from pathlib import Path
 from typing import Any, Literal
 
 import yaml
-from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
+from pydantic import AliasChoices, BaseModel, ConfigDict, Field, field_validator, model_validator
 
 from covarium.sources.shards import canonical
 
 STEPS = ("covariances", "alignment", "tangent_space", "mdm", "lda", "svm", "logistic_regression", "scaler", "kernel_classifier")
 CLASSIFIERS = ("mdm", "lda", "svm", "logistic_regression", "kernel_classifier")
+PROBABILISTIC = ("mdm", "lda", "logistic_regression")
 METRICS = ("accuracy", "balanced_accuracy", "kappa", "f1_macro", "roc_auc")
 
 
@@ -21,18 +22,24 @@ class _Spec(BaseModel):
 
 
 class DatasetConfig(_Spec):
+    """What is recorded and kept of it; ``options`` go to the loader as they are."""
+
     name: str
-    subjects: tuple[int, ...] | None = None
+    subjects: tuple[int | str, ...] = ()
+    channels: tuple[str, ...] = ()
     tmin: float = 0.5
-    tmax: float = 3.5
-    low_freq: float = 8.0
+    tmax: float = 2.5
+    low_freq: float = Field(8.0, gt=0)
     high_freq: float = 30.0
+    resample: float | None = None
     options: dict[str, Any] = Field(default_factory=dict)
 
     @model_validator(mode="after")
     def _windows(self):
         if self.tmax <= self.tmin or self.high_freq <= self.low_freq:
             raise ValueError("a window's and a band's end must lie behind its start")
+        if self.resample is not None and self.resample <= 2 * self.high_freq:
+            raise ValueError(f"resample must be over twice the band's end, {2 * self.high_freq} Hz")
         return self
 
     @property
@@ -43,6 +50,11 @@ class DatasetConfig(_Spec):
         """Both ends included."""
         return round(self.duration * rate) + 1
 
+    def selection(self) -> dict[str, Any]:
+        """The keywords for a loader of recordings; subjects and channels only where some are named."""
+        every = self.model_dump(include={"tmin", "tmax", "low_freq", "high_freq", "resample"})
+        return every | {k: list(v) for k, v in (("subjects", self.subjects), ("channels", self.channels)) if v}
+
 
 class StepConfig(_Spec):
     name: str
@@ -71,45 +83,62 @@ class PipelineConfig(_Spec):
         return [s.name for s in self.steps]
 
 
+#: Short names of protocols.
+SHORT = {"chronological": "within_subject_chronological", "kfold": "within_subject_kfold"}
+
+
 class ProtocolConfig(_Spec):
-    name: Literal["loso", "chronological", "kfold", "leaky_shuffle"] = "loso"
+    name: Literal["loso", "within_subject_chronological", "within_subject_kfold", "leaky_shuffle"] = "loso"
     params: dict[str, Any] = Field(default_factory=dict)
 
+    @field_validator("name", mode="before")
+    @classmethod
+    def _in_full(cls, value):
+        return SHORT.get(value, value)
+
     @model_validator(mode="after")
     def _guard(self):
-        if self.name == "leaky_shuffle" and not (self.params.get("acknowledge_leakage") is True and "random_state" in self.params):
+        if self.is_deliberately_leaky and not (self.params.get("acknowledge_leakage") is True and "random_state" in self.params):
             raise ValueError("leaky_shuffle needs acknowledge_leakage: true and a random_state")
         return self
 
+    @property
+    def is_deliberately_leaky(self) -> bool:
+        return self.name == "leaky_shuffle"
+
 
 class EvaluationConfig(_Spec):
     metrics: tuple[str, ...] = ("accuracy", "balanced_accuracy", "kappa")
     selection_metric: str = "balanced_accuracy"
-    grid: dict[str, list[Any]] | None = None
+    param_grid: dict[str, list[Any]] = Field(default_factory=dict, validation_alias=AliasChoices("param_grid", "grid"))
     inner_protocol: ProtocolConfig | None = None
+    return_train_scores: bool = False
 
     @model_validator(mode="after")
     def _consistent(self):
         if not self.metrics or len(set(self.metrics)) < len(self.metrics) or not set(self.metrics) <= set(METRICS):
             raise ValueError(f"metrics are different ones of {', '.join(METRICS)}")
-        if self.grid and (self.inner_protocol is None or self.selection_metric not in self.metrics):
+        if self.param_grid and (self.inner_protocol is None or self.selection_metric not in self.metrics):
             raise ValueError("a grid needs an inner protocol and a selection metric among the metrics")
         return self
 
 
 class StatisticsConfig(_Spec):
+    """Zero permutations or resamples, and no bound, skip what they are for."""
+
     alpha: float = Field(0.05, gt=0, lt=1)
     equivalence_bound: float | None = Field(None, gt=0)
-    n_permutations: int = Field(1000, ge=1)
-    n_bootstrap: int = Field(10_000, ge=1)
+    n_permutations: int = Field(0, ge=0)
+    n_bootstrap: int = Field(10_000, ge=0)
     power: float = Field(0.8, gt=0, lt=1)
+    correct_multiple_comparisons: bool = True
 
 
 class RuntimeConfig(_Spec):
     seed: int = 0
     output_root: Path = Path("results")
-    n_jobs: int = 1
-    log_level: str = "INFO"
+    n_jobs: int = Field(1, ge=1)
+    log_level: Literal["DEBUG", "INFO", "WARNING", "ERROR"] = "INFO"
     overwrite: bool = False
 
 
@@ -123,6 +152,12 @@ class ExperimentConfig(_Spec):
     statistics: StatisticsConfig = StatisticsConfig()
     runtime: RuntimeConfig = RuntimeConfig()
 
+    @model_validator(mode="after")
+    def _scored(self):
+        if "roc_auc" in self.evaluation.metrics and self.pipeline.step_names[-1] not in PROBABILISTIC:
+            raise ValueError(f"roc_auc needs a classifier with probabilities: {', '.join(PROBABILISTIC)}")
+        return self
+
     @field_validator("name")
     @classmethod
     def _safe(cls, value: str) -> str:

@@ -6,6 +6,7 @@ import platform
 import subprocess
 import time
 from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import product
 from pathlib import Path
@@ -27,39 +28,45 @@ from covarium.sources import trials as T
 from covarium.sources.shards import ShardStore, canonical
 
 
+#: Rows of a fold that a kernel machine takes; their Gram matrix has the square of that many entries.
+DENSE_ROWS = 10_000
+
+
 class FoldModel:
     """A pipeline's steps behind the covariances, fitted on training rows only."""
 
     def __init__(self, steps: list[tuple[str, dict]]) -> None:
         self.steps = steps
 
-    def fit_predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
-        """``trial_id, y_true, y_pred`` of the test rows."""
+    def fit_predict(self, train: DataFrame, *tests: DataFrame) -> list[DataFrame]:
+        """``trial_id, y_true, y_pred`` of the rows of each of ``tests``, and ``proba`` in class order where the classifier has it."""
         for name, params in self.steps:
             if name == "tangent_space":
                 space = TangentSpace(**params).fit(train)
-                train, test = space.transform(train), space.transform(test)
-            elif name == "mdm":
-                out = MDM(**params).fit(train).predict(test)
-            elif name == "lda":
-                out = LinearDiscriminant(**params).fit(train).predict(test)
+                train, *tests = map(space.transform, (train, *tests))
+            elif name in ("mdm", "lda"):
+                fitted = {"mdm": MDM, "lda": LinearDiscriminant}[name](**params).fit(train)
+                out = [fitted.predict_proba(t) for t in tests]
             elif name == "logistic_regression":
-                model, _ = logistic(train, **params)
-                from pyspark.ml.functions import array_to_vector
+                from pyspark.ml.functions import array_to_vector, vector_to_array
 
-                out = model.transform(test.withColumn("raw_vector", array_to_vector("features"))).withColumn("y_pred", F.col("y_pred").cast(train.schema["label"].dataType))
+                model, _ = logistic(train, **params)
+                kind = train.schema["label"].dataType
+                out = [model.transform(t.withColumn("raw_vector", array_to_vector("features"))).withColumn("y_pred", F.col("y_pred").cast(kind)).withColumn("proba", vector_to_array("probability")) for t in tests]
             elif name in ("svm", "kernel_classifier"):
-                out = self._dense(name, params, train, test)
+                out = [self._dense(name, params, train, t) for t in tests]
             elif name == "scaler":
                 stats = [(F.avg(F.get("features", F.lit(i))), F.stddev_pop(F.get("features", F.lit(i)))) for i in range(len(train.select("features").first()[0]))]
                 row = train.agg(*(x.alias(f"{k}{i}") for i, pair in enumerate(stats) for k, x in zip("ms", pair))).first()
                 scaled = F.array(*((F.get("features", F.lit(i)) - row[f"m{i}"]) / (row[f"s{i}"] or 1.0) for i in range(len(stats))))
-                train, test = train.withColumn("features", scaled), test.withColumn("features", scaled)
-        return out.select("trial_id", F.col("label").alias("y_true"), "y_pred")
+                train, *tests = (t.withColumn("features", scaled) for t in (train, *tests))
+        return [t.select("trial_id", F.col("label").alias("y_true"), "y_pred", *(["proba"] if "proba" in t.columns else [])) for t in out]
 
     @staticmethod
     def _dense(name: str, params: dict, train: DataFrame, test: DataFrame) -> DataFrame:
-        """Kernel machines need a training fold in memory; the dual is solved on the driver."""
+        """Kernel machines need a training fold in memory: the dual is solved on the driver, for at most ``DENSE_ROWS`` rows."""
+        if max(train.count(), test.count()) > DENSE_ROWS:
+            raise ValueError(f"a kernel machine takes at most {DENSE_ROWS} rows in a fold; lda and logistic_regression take any number")
         a = train.select("features", "label").toPandas()
         b = test.select("trial_id", "features", "label").toPandas()
         x, z = np.stack(a["features"]), np.stack(b["features"])
@@ -81,8 +88,8 @@ class EvaluationResult:
     chance_accuracy: float
     balance: dict = field(default_factory=dict)
 
-    def scores(self, metric: str) -> list[float]:
-        return [f["scores"][metric] for f in self.folds]
+    def scores(self, metric: str, train: bool = False) -> list[float]:
+        return [f["train_scores" if train else "scores"][metric] for f in self.folds]
 
     def mean(self, metric: str) -> float:
         return float(np.mean(self.scores(metric)))
@@ -98,11 +105,26 @@ class EvaluationResult:
         return self.info | {"chance_accuracy": self.chance_accuracy} | {f"{m}_{k}": getattr(self, k)(m) for m in names for k in ("mean", "std")}
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([{"fold": f["fold"], "n_train": f["n_train"], "n_test": f["n_test"]} | {k: float(v) for k, v in f["scores"].items()} for f in self.folds])
+        named = [f["scores"] | {f"train_{k}": v for k, v in (f.get("train_scores") or {}).items()} for f in self.folds]
+        return spark.createDataFrame([{"fold": f["fold"], "n_train": f["n_train"], "n_test": f["n_test"]} | {k: float(v) for k, v in some.items()} for f, some in zip(self.folds, named)])
+
+    def __repr__(self) -> str:
+        means = ", ".join(f"{m} {self.mean(m):.3f}" for m in (self.folds[0]["scores"] if self.folds else {}))
+        return f"EvaluationResult({self.info.get('protocol')}, {len(self.folds)} folds: {means})"
+
+
+def score(predicted: DataFrame, names: Sequence[str], classes: Sequence) -> dict[str, float]:
+    """The named metrics of ``y_true, y_pred`` and, for ``roc_auc``, ``proba``."""
+    row = metrics.scores(predicted).first().asDict()
+    if "roc_auc" in names:
+        if "proba" not in predicted.columns:
+            raise ValueError("roc_auc needs a classifier with probabilities")
+        row |= metrics.roc_auc_of_probabilities(predicted, classes=classes).first().asDict()
+    return {m: float(row[m]) for m in names}
 
 
-def evaluate_fold(model: FoldModel, data: DataFrame, folds: DataFrame, fold: int, names: tuple[str, ...], search: tuple | None = None) -> dict:
-    """Fit on a fold's training rows and score its test rows; both need two classes.
+def evaluate_fold(model: FoldModel, data: DataFrame, folds: DataFrame, fold: int, names: tuple[str, ...], search: tuple | None = None, train_scores: bool = False) -> dict:
+    """Fit on a fold's training rows and score its test rows, and with ``train_scores`` its training rows; both need two classes.
 
     ``search`` is (grid, inner splitter, metric): the best values on inner folds
     of the training rows are taken first.
@@ -110,18 +132,29 @@ def evaluate_fold(model: FoldModel, data: DataFrame, folds: DataFrame, fold: int
     own = folds.where(F.col("fold") == fold)
     train = data.join(own.where("role = 'train'").select("trial_id"), "trial_id", "left_semi")
     test = data.join(own.where("role = 'test'").select("trial_id"), "trial_id", "left_semi")
-    sizes = []
+    sizes, classes = [], []
     for part, role in ((train, "train"), (test, "test")):
-        r = part.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("c")).first()
-        if r["c"] < 2:
+        counts = part.groupBy("label").count().collect()  # a row for each class
+        if len(counts) < 2:
             raise ValueError(f"fold {fold}: the {role} rows have one class")
-        sizes.append(r["n"])
+        sizes.append(sum(r["count"] for r in counts))
+        classes.append(sorted(r["label"] for r in counts))
     began = time.time()
+    best = None
     if search:
-        model = FoldModel(select_steps(model.steps, search[0], train, *search[1:]))
-    row = metrics.scores(model.fit_predict(train, test)).first()
+        model, best = FoldModel(chosen := select_steps(model.steps, search[0], train, *search[1:])), {}
+        for key in search[0]:
+            step, parameter = key.split("__", 1)
+            best[key] = dict(chosen)[step].get(parameter)
+    predicted = model.fit_predict(train, test, *([train] if train_scores else []))
+    fitted = time.time()
     groups = [r[0] for r in test.select("subject").distinct().orderBy("subject").collect()]
-    return {"fold": fold, "n_train": sizes[0], "n_test": sizes[1], "test_groups": groups, "scores": {m: float(row[m]) for m in names}, "seconds": time.time() - began}
+    out = {"fold": fold, "n_train": sizes[0], "n_test": sizes[1], "test_groups": groups, "scores": score(predicted[0], names, classes[0])}
+    if train_scores:
+        out["train_scores"] = score(predicted[1], names, classes[0])
+    if best is not None:
+        out["best_params"] = best
+    return out | {"seconds": time.time() - began, "fit_seconds": fitted - began, "score_seconds": time.time() - fitted}
 
 
 def select_steps(steps: list[tuple[str, dict]], grid: dict[str, list], train: DataFrame, inner: BaseSplitter, metric: str) -> list[tuple[str, dict]]:
@@ -136,14 +169,14 @@ def select_steps(steps: list[tuple[str, dict]], grid: dict[str, list], train: Da
     return best
 
 
-def evaluate(steps: list[tuple[str, dict]], data: DataFrame, splitter: BaseSplitter, names: tuple[str, ...] = ("accuracy", "balanced_accuracy", "kappa")) -> EvaluationResult:
+def evaluate(steps: list[tuple[str, dict]], data: DataFrame, splitter: BaseSplitter, names: tuple[str, ...] = ("accuracy", "balanced_accuracy", "kappa"), train_scores: bool = False) -> EvaluationResult:
     """Score steps over all folds of ``data`` (trial_id, subject, label, cov)."""
     if not names or not set(names) <= set(metrics.METRICS):
         raise ValueError(f"metrics are of {', '.join(metrics.METRICS)}")
     folds = splitter.split(data).persist()
     balance = {r["label"]: r["proportion"] for r in metrics.class_balance(data).collect()}
     try:
-        out = [evaluate_fold(FoldModel(steps), data, folds, k, names) for k in range(splitter.n_splits(data))]
+        out = [evaluate_fold(FoldModel(steps), data, folds, k, names, train_scores=train_scores) for k in range(splitter.n_splits(data))]
     finally:
         folds.unpersist()
     info = {"protocol": splitter.info.name, "subject_independent": splitter.info.subject_independent, "temporally_disjoint": splitter.info.temporally_disjoint}
@@ -162,7 +195,8 @@ def permutation_test(steps, data: DataFrame, splitter: BaseSplitter, metric: str
         except ValueError as error:
             if "one class" not in str(error):
                 raise
-    return {"observed": seen, "null": null, "p_value": (1 + sum(x >= seen for x in null)) / (1 + len(null)), "least_p": 1 / (1 + len(null))}
+    p, least = (1 + sum(x >= seen for x in null)) / (1 + len(null)), 1 / (1 + len(null))
+    return {"observed": seen, "null": null, "p_value": p, "least_p": least, "at_resolution_limit": p <= least, "excess": seen - float(np.mean(null)) if null else None}
 
 
 @dataclass(frozen=True)
@@ -172,6 +206,7 @@ class RunSummary:
     n_computed: int
     path: Path
     intervals: dict = field(default_factory=dict)
+    statistics: dict = field(default_factory=dict)
 
     def describe(self) -> str:
         return f"{self.n_computed} of {self.n_units} folds computed, results in {self.path}"
@@ -182,6 +217,53 @@ def collect_provenance(spark: SparkSession, config: ExperimentConfig) -> dict:
     return {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "seed": config.runtime.seed, "commit": git("rev-parse", "HEAD"), "dirty": bool(git("status", "--porcelain"))}
 
 
+def load(spark: SparkSession, config: ExperimentConfig) -> DataFrame:
+    """The dataset that a specification names: recordings get its window, band, rate, subjects and channels, generated trials the seed."""
+    wanted = {"seed": config.runtime.seed} if config.dataset.name == "synthetic" else config.dataset.selection()
+    data = T.load_dataset(spark, config.dataset.name, **wanted | config.dataset.options)
+    T.validate(data)
+    if config.dataset.name == "synthetic" and config.dataset.subjects:
+        data = T.select_subjects(data, list(config.dataset.subjects))
+    return data
+
+
+def inference(config: ExperimentConfig, result: EvaluationResult, steps: list[tuple[str, dict]], data: DataFrame, splitter: BaseSplitter) -> dict:
+    """What the statistics block asks for.
+
+    For each metric an interval of the mean over folds; the metric's corrected test
+    against its chance level, adjusted over the metrics, with the least effect that
+    the folds can show and, with a bound, the test of equivalence to chance; and
+    the permutation test of the selection metric.
+    """
+    from covarium.operators import compare
+    from covarium.functions.distributions import t_ppf, t_sf
+
+    asked, folds = config.statistics, len(result.folds)
+    out: dict = {}
+    names = list(config.evaluation.metrics)
+    if folds > 1:
+        train, test = (float(np.mean(x)) for x in zip(*result.fold_sizes()))
+        for m in names:
+            chance = {"accuracy": result.chance_accuracy, "kappa": 0.0, "roc_auc": 0.5}.get(m, 1 / max(2, len(result.balance)))
+            over = np.array(result.scores(m)) - chance
+            se = (compare.correction_factor(train, test, folds)) ** 0.5 * float(over.std(ddof=1))
+            mean = float(over.mean())
+            p = 2 * t_sf(abs(mean) / se, folds - 1) if se > 1e-12 else float(abs(mean) <= 1e-12)
+            out[m] = {"over_chance": mean, "se": se, "p_value": p, "detectable": (t_ppf(1 - asked.alpha / 2, folds - 1) + t_ppf(asked.power, folds - 1)) * se}
+            if asked.equivalence_bound is not None:
+                out[m]["equivalence_p"] = compare.tost_p(mean, se if se > 1e-12 else 0.0, folds - 1, asked.equivalence_bound)
+            if asked.n_bootstrap:
+                out[m]["interval"] = vars(bootstrap_ci(result.scores(m), n_resamples=asked.n_bootstrap, confidence=1 - asked.alpha, seed=config.runtime.seed))
+        top = 0.0
+        for k, m in enumerate(sorted(names, key=lambda m: out[m]["p_value"])):  # Holm's steps down
+            top = max(top, min(1.0, out[m]["p_value"] * (len(names) - k)))
+            out[m]["p_adjusted"] = top if asked.correct_multiple_comparisons else out[m]["p_value"]
+    if asked.n_permutations:
+        metric = config.evaluation.selection_metric if config.evaluation.selection_metric in names else names[0]
+        out["permutation"] = permutation_test(steps, data, splitter, metric, asked.n_permutations, config.runtime.seed) | {"metric": metric}
+    return out
+
+
 def run_experiment(spark: SparkSession, config: ExperimentConfig, data: DataFrame | None = None) -> RunSummary:
     """Run what of an experiment isn't done yet: a shard for each fold, then the result from the shards alone.
 
@@ -189,9 +271,7 @@ def run_experiment(spark: SparkSession, config: ExperimentConfig, data: DataFram
     for all folds; everything else is fitted inside a fold.
     """
     if data is None:
-        options = dict(config.dataset.options) | ({"seed": config.runtime.seed} if config.dataset.name == "synthetic" else {})
-        data = T.load_dataset(spark, config.dataset.name, **options)
-        T.validate(data)
+        data = load(spark, config)
     steps = [(s.name, dict(s.params)) for s in config.pipeline.steps]
     if steps[0][0] == "covariances":
         params = steps.pop(0)[1]
@@ -214,28 +294,29 @@ def run_experiment(spark: SparkSession, config: ExperimentConfig, data: DataFram
         todo = list(units) if config.runtime.overwrite else store.pending(list(units))
         folds = splitter.split(data).persist()
         chosen = config.evaluation
-        search = (chosen.grid, make_splitter(chosen.inner_protocol.name, **chosen.inner_protocol.params), chosen.selection_metric) if chosen.grid else None
+        search = (chosen.param_grid, make_splitter(chosen.inner_protocol.name, **chosen.inner_protocol.params), chosen.selection_metric) if chosen.param_grid else None
         provenance = collect_provenance(spark, config)
 
         def work(unit: str) -> None:
-            store.write(unit, evaluate_fold(FoldModel(steps), data, folds, units[unit], chosen.metrics, search), fold=units[unit], provenance=provenance)
+            store.write(unit, evaluate_fold(FoldModel(steps), data, folds, units[unit], chosen.metrics, search, chosen.return_train_scores), fold=units[unit], provenance=provenance)
 
         with ThreadPoolExecutor(max(1, config.runtime.n_jobs)) as pool:
             list(pool.map(work, todo))
         folds.unpersist()
         balance = {str(r["label"]): r["proportion"] for r in metrics.class_balance(data).collect()}
+        shards = {s.unit_id: s.payload for s in store.load_all()}
+        if missing := [u for u in units if u not in shards]:
+            raise RuntimeError(f"shards are missing: {missing}")
+        done = sorted((shards[u] for u in units), key=lambda f: f["fold"])
+        info = {"protocol": splitter.info.name, "subject_independent": splitter.info.subject_independent, "temporally_disjoint": splitter.info.temporally_disjoint}
+        result = EvaluationResult(done, info, max(balance.values()), balance)
+        told = inference(config, result, steps, data, splitter)
     finally:
         data.unpersist()
-    shards = {s.unit_id: s.payload for s in store.load_all()}
-    if missing := [u for u in units if u not in shards]:
-        raise RuntimeError(f"shards are missing: {missing}")
-    done = sorted((shards[u] for u in units), key=lambda f: f["fold"])
-    info = {"protocol": splitter.info.name, "subject_independent": splitter.info.subject_independent, "temporally_disjoint": splitter.info.temporally_disjoint}
-    result = EvaluationResult(done, info, max(balance.values()), balance)
-    intervals = {m: vars(bootstrap_ci(result.scores(m), n_resamples=config.statistics.n_bootstrap, confidence=1 - config.statistics.alpha, seed=config.runtime.seed)) for m in chosen.metrics} if len(done) > 1 else {}
+    intervals = {m: told[m]["interval"] for m in chosen.metrics if "interval" in told.get(m, {})}
     chance = chance_level(sum(n for _, n in result.fold_sizes()), max(2, len(balance)), config.statistics.alpha)
-    (path / "summary.json").write_text(canonical(result.summary() | {"intervals": intervals, "chance_level": chance}))
-    return RunSummary(result, len(units), len(todo), path, intervals)
+    (path / "summary.json").write_text(canonical(result.summary() | {"intervals": intervals, "statistics": told, "chance_level": chance}))
+    return RunSummary(result, len(units), len(todo), path, intervals, told)
 
 
 __all__ = ["SPLITTERS", "EvaluationResult", "FoldModel", "RunSummary", "evaluate", "evaluate_fold", "permutation_test", "run_experiment"]

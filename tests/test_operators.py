@@ -260,6 +260,83 @@ def test_runner_resumes(spark, tmp_path):
     assert again.result.to_frame(spark).count() == 4 and "kappa_std" in again.result.summary()
 
 
+def test_experiment_files(tmp_path):
+    """A file with every key loads; what can't be run fails at load, not after a fold."""
+    full = {
+        "name": "full", "description": "every key",
+        "dataset": {"name": "synthetic", "subjects": [1, 2], "channels": ["C3", "C4"], "tmin": 0.0, "tmax": 2.0, "low_freq": 4.0, "high_freq": 40.0, "resample": 128.0},
+        "pipeline": {"steps": [{"name": "covariances", "params": {"estimator": "oas"}}, {"name": "mdm"}]},
+        "protocol": {"name": "within_subject_kfold", "params": {"n_splits": 3}},
+        "evaluation": {"metrics": ["accuracy", "roc_auc"], "selection_metric": "accuracy", "param_grid": {"mdm__metric": ["euclid"]}, "inner_protocol": {"name": "within_subject_chronological"}, "return_train_scores": True},
+        "statistics": {"alpha": 0.01, "equivalence_bound": 0.02, "n_permutations": 0, "n_bootstrap": 0, "power": 0.9, "correct_multiple_comparisons": False},
+        "runtime": {"seed": 3, "output_root": "x", "n_jobs": 2, "log_level": "DEBUG", "overwrite": True},
+    }
+    import yaml
+
+    (tmp_path / "full.yaml").write_text(yaml.safe_dump(full))
+    c = C.load_config(tmp_path / "full.yaml")
+    assert c.dataset.selection() == {"tmin": 0.0, "tmax": 2.0, "low_freq": 4.0, "high_freq": 40.0, "resample": 128.0, "subjects": [1, 2], "channels": ["C3", "C4"]}
+    assert C.DatasetConfig(name="d").tmax == 2.5 and C.StatisticsConfig().n_permutations == 0
+    assert not c.protocol.is_deliberately_leaky and C.ProtocolConfig(name="kfold") == C.ProtocolConfig(name="within_subject_kfold")
+    for bad in (
+        {"dataset": {"name": "d", "resample": 50}}, {"dataset": {"name": "d", "low_freq": 0}}, {"statistics": {"n_bootstrap": -1}}, {"runtime": {"n_jobs": 0}}, {"runtime": {"log_level": "LOUD"}},
+        {"evaluation": {"metrics": ["accuracy", "accuracy"]}}, {"evaluation": {"param_grid": {"lda__shrinkage": [0.1]}}},
+        {"evaluation": {"metrics": ["roc_auc"]}, "pipeline": {"steps": [{"name": "covariances"}, {"name": "tangent_space"}, {"name": "svm"}]}},
+    ):
+        with pytest.raises(ValueError):
+            spec(tmp_path, **bad)
+
+
+def test_dataset_options_reach_the_loader(spark, tmp_path):
+    from covarium.sources import trials as T
+
+    seen = {}
+    if "recording" not in T.available_datasets():
+        T.register_dataset("recording")(lambda spark, **options: (seen.update(options), T.make_synthetic(spark, n_subjects=3, n_trials_per_subject=8, n_channels=3, n_times=64))[1])
+    c = spec(tmp_path, dataset={"name": "recording", "subjects": [2], "tmin": 0.1, "options": {"extra": 1}})
+    assert runner.load(spark, c).count() == 24
+    assert seen == {"subjects": [2], "tmin": 0.1, "tmax": 2.5, "low_freq": 8.0, "high_freq": 30.0, "resample": None, "extra": 1}
+
+
+def test_auc_train_scores_and_statistics(spark, tmp_path):
+    c = spec(
+        tmp_path, evaluation={"metrics": ["accuracy", "roc_auc"], "selection_metric": "roc_auc", "return_train_scores": True},
+        dataset={"name": "synthetic", "options": {"n_subjects": 4, "n_trials_per_subject": 16, "n_channels": 3, "n_times": 32, "task_effect": 0.3}},
+        pipeline={"steps": [{"name": "covariances"}, {"name": "mdm", "params": {"metric": "euclid"}}]},
+        statistics={"n_permutations": 1, "equivalence_bound": 0.1, "n_bootstrap": 50},
+    )
+    out = runner.run_experiment(spark, c)
+    folds = out.result.folds
+    assert all(0 <= f["scores"]["roc_auc"] <= 1 and f["train_scores"]["accuracy"] >= 0.5 for f in folds)
+    assert {"train_roc_auc", "roc_auc"} <= set(out.result.to_frame(spark).columns)
+    told = json.loads((out.path / "summary.json").read_text())["statistics"]
+    assert told["permutation"]["metric"] == "roc_auc" and len(told["permutation"]["null"]) == 1
+    assert told["roc_auc"]["p_adjusted"] >= told["roc_auc"]["p_value"] and 0 <= told["accuracy"]["equivalence_p"] <= 1 and told["accuracy"]["detectable"] > 0
+
+
+def test_auc_of_several_classes(spark):
+    from covarium.operators import metrics
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        p = rng.dirichlet([1, 1, 1]).round(2)
+        rows.append((int(rng.choice(3, p=p / p.sum())), p.tolist()))
+    got = metrics.roc_auc_of_probabilities(spark.createDataFrame(rows, "y_true int, proba array<double>"), classes=[0, 1, 2]).first()[0]
+
+    def plain(k):
+        a, b = [p[k] for y, p in rows if y == k], [p[k] for y, p in rows if y != k]
+        return np.mean([(x > z) + 0.5 * (x == z) for x in a for z in b])
+
+    assert got == pytest.approx(np.mean([plain(k) for k in range(3)]))
+
+
+def test_leaky_blocks_are_even(spark):
+    df = spark.range(103).selectExpr("id as trial_id", "id % 4 as subject")
+    sizes = sorted(r["count"] for r in splits.LeakyShuffleSplit(5, random_state=1, acknowledge_leakage=True).split(df).where("role = 'test'").groupBy("fold").count().collect())
+    assert sizes == [20, 20, 21, 21, 21]
+
+
 def test_permutation(spark):
     df = clouds(spark, 4)
     out = runner.permutation_test([("mdm", {"metric": "logeuclid"})], df, splits.WithinSubjectKFold(2), n_permutations=2)
