@@ -119,35 +119,46 @@ def edit_likeness(docs: DataFrame, k: int = K, width: int = WIDTH, seed: int = S
     many of the start of the next document in descending doc_id (all, if it has
     fewer); the first follows the last. Returns ``doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next`` for every row. Null
-    text counts as empty. Rows are ranged by doc_id, and each range is ended by a
-    copy of the next one's first row, so no task sees more than a range. Rows
-    with one doc_id follow one another by their text; null doc_ids come last. A
-    lone row follows itself; an empty table gives an empty one.
+    text counts as empty. Rows with one doc_id follow one another by a hash of
+    their text and then by it; null doc_ids come last. A lone row follows itself;
+    an empty table gives an empty one. Rows are ranged by doc_id, those of a
+    doc_id that fills a range, or of none, by the hash as well, and each range is
+    ended by a copy of the next one's first row, so no task sees more than a range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 3 * n
-    bounds = sorted(set(rows.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    counted = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    # each has more than a range's share of all rows, so there are fewer than ranges; a double tells longs below 2^53
+    crowds = {r["doc_id"]: -(-ranges * r["n"] // total) for r in counted.where(F.col("n") * ranges > total).collect()}
+    alone = [i for i in crowds if i is not None and abs(i) < 1 << 53]
+    cuts = rows.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if total else []
+    bounds = sorted({*cuts, *map(float, alone), *(float(i + 1) for i in alone)})
     cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="id", outputCol="cut", handleInvalid="keep")
-    # the bounds are the ranges' parameters, as many as there are partitions; null doc_ids are in the last range
+    # the bounds are the ranges' parameters, as many as there are partitions
+    ranged = cut.transform(rows.withColumn("id", F.col("doc_id").cast("double"))) if bounds else rows.withColumn("cut", F.lit(0.0))
+    pieces = F.coalesce(*(F.when(F.col("doc_id").eqNullSafe(F.lit(i)), F.lit(crowds[i])) for i in [*alone, *([None] if None in crowds else [])]), F.lit(1))
     dealt = (
-        (cut.transform(rows.withColumn("id", F.col("doc_id").cast("double"))) if bounds else rows.withColumn("cut", F.lit(0.0)))
-        .withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.lit(len(bounds)) - F.col("cut").cast("int")))
-        .select("part", "doc_id", "text")
+        ranged.withColumn("h", F.xxhash64("text"))
+        .withColumn("major", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.col("cut").cast("int")))
+        .withColumn("minor", F.least(pieces - 1, F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * pieces).cast("int")))
+        .select((F.col("major").cast("long") * (1 << 32) + F.col("minor")).alias("part"), "doc_id", "h", "text")
     )
     heads = dealt.groupBy("part").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy("part")
     every = heads.select("part", "head", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("before"))
     ghosts = (
         dealt.join(F.broadcast(every), (dealt["part"] == every["part"]) & dealt["doc_id"].eqNullSafe(every["head"]))
-        .select(every["before"].alias("part"), dealt["doc_id"], dealt["text"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("text")))
+        .select(every["before"].alias("part"), dealt["doc_id"], dealt["h"], dealt["text"])
+        .withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("h", "text")))
         .where("rank = 1").drop("rank")
     )
-    together = dealt.select("part", "doc_id", "text", F.lit(False).alias("ghost")).unionByName(ghosts.select("part", "doc_id", "text", F.lit(True).alias("ghost")))
+    together = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
     return (
         together.repartition(n, "part")
-        .sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+        .sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
+        .select("part", "doc_id", "text", "ghost")
         .mapInArrow(_edited(k, width, seed), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     )

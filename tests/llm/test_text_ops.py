@@ -70,8 +70,8 @@ def test_pack(spark, docs, which):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    frame = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if which == "edge" else real(spark)
+    marked = spark.createDataFrame([(900, "a <|endoftext|> b"), (901, "x<|startoftext|>y's <|EndOfText|>")], "doc_id long, text string")
+    frame = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(marked, allowMissingColumns=True) if which == "edge" else real(spark)
     want = {r.doc_id: ids_of(tokenizer, r.text) for r in frame.collect()}
     pieces = packing.pack(frame, path, with_ids=True).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -93,6 +93,35 @@ def test_pack(spark, docs, which):
     assert 4096 * len(by_seq) - total < 4096
 
 
+def test_curve_keys_tell_direction_not_length():
+    table = packing.directions(500)
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 500, 80)
+    ids, bounds = np.r_[one, np.tile(one, 40)], np.array([0, 80, 80 + 3200])
+    assert (np.diff(packing.curve_keys(ids, bounds, table), axis=0) == 0).all()
+    many = [rng.integers(0, 500, 5000) for _ in range(50)]
+    keys = packing.curve_keys(np.concatenate(many), np.arange(51) * 5000, table)
+    assert ((keys > 0) & (keys < 1023)).all(axis=1).mean() > 0.9
+    assert packing.curve_keys(ids[:0], np.array([0, 0]), table).tolist() == [[512] * 4]
+
+
+def test_ranges_hold_equal_tokens(spark):
+    """Rows of very different lengths, and a third of all at one place."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(0, 1 << 40)) if i % 3 else 12345, int(rng.integers(1, 30) ** 3), i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, curve long, tokens long, number long")
+    total = sum(r[2] for r in rows)
+    number, dealt, n = packing.ranges(frame, total // 40)
+    assert 40 <= n <= 42
+    got = dealt.select("curve", "tokens", number.alias("range")).collect()
+    sizes = np.bincount([r.range for r in got], [r.tokens for r in got], n)
+    assert sizes.max() < 2.5 * total / n
+    upper, lower = defaultdict(int), defaultdict(lambda: 1 << 60)
+    for r in got:
+        upper[r.range], lower[r.range] = max(upper[r.range], r.curve), min(lower[r.range], r.curve)
+    assert all(upper[k] <= lower[k + 1] for k in range(n - 1))
+
+
 def test_pack_empty(empty, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.pack(empty, path).count() == 0
@@ -178,7 +207,7 @@ def test_near_copies(spark, limit):
     first = {}
     for i, g in group.items():
         first.setdefault(g, i)
-    prints = {i: simhash.wide_fingerprint(np.unique(simhash.shingle_hashes(t.encode(), 5))) for i, t in texts.items()}
+    prints = {i: simhash.wide_fingerprint(np.unique(simhash.shingles(t.encode(), 5))) for i, t in texts.items()}
     for i, g in group.items():
         if np.bitwise_count(prints[i] ^ prints[first[g]]).sum() <= simhash.wide_radius(0.8):
             assert label[i] == first[g]
@@ -193,11 +222,11 @@ def test_wide_keys_of_repeated_lines():
 
     words = [f"w{k}" for k in range(400)]
     lines = [" ".join(words[k : k + 5]) for k in range(0, 400, 5)]
-    line = min(lines, key=lambda x: xxhash.xxh64_intdigest(x.encode(), 42))
+    line = min(lines, key=lambda x: simhash.shingles(x.encode(), 5)[0])
     text = " ".join([*words, *[line] * 200])
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([text])], ["doc_id", "same", "text"])
     (out,) = simhash._wide(iter([batch]))
-    distinct = np.unique(simhash.shingle_hashes(text.encode(), 5, simhash.SEED))
+    distinct = np.unique(simhash.shingles(text.encode(), 5))
     assert out.column(3).to_pylist() == [distinct[: simhash.KEYS].view(np.int64).tolist()]
     assert out.column(2).to_pylist() == [simhash.wide_fingerprint(distinct).tobytes()]
 
@@ -350,6 +379,60 @@ def test_shuffle(spark, docs, empty):
     assert sharding.external_shuffle(empty).count() == 0
 
 
+def fisher_yates(n, seed):
+    """Places of the shuffled, inside out: draws of a Mersenne twister seeded with the halves of a long."""
+    bits = np.random.RandomState([seed >> 32 & 0xFFFFFFFF, seed & 0xFFFFFFFF])
+    draw = lambda: int(bits.randint(0, 1 << 32, dtype=np.uint32)) >> 1
+
+    def below(k):
+        if k & -k == k:
+            return k * draw() >> 31
+        while True:
+            x = draw()
+            if x - x % k + k - 1 < 1 << 31:
+                return x % k
+
+    at = []
+    for i in range(n):
+        j = below(i + 1)
+        at.append(at[j] if j < i else i)
+        at[j] = i
+    return at
+
+
+def test_shuffle_against_a_plain_model(spark):
+    """Buckets by hash, a Fisher-Yates permutation of each and slots in turn."""
+    from pyspark.sql import functions as F
+
+    frame = real(spark)
+    hashed = frame.select("doc_id", F.xxhash64(F.lit(7), *frame.columns).alias("h"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("size")).collect()
+    n = -(-sum(r.size for r in hashed) // 20_000)
+    buckets = defaultdict(list)
+    for r in sorted(hashed, key=lambda r: r.h):
+        buckets[r.h % n].append(r.doc_id)
+    dealt = [own[k] for b, own in sorted(buckets.items()) for k in fisher_yates(len(own), 7 + b)]
+    want = sorted((doc, k % 24, k // 24) for k, doc in enumerate(dealt))
+    assert n > 20 and sorted(map(tuple, sharding.external_shuffle(frame, bucket_bytes=20_000).select("record.doc_id", "shard", "slot").collect())) == want
+
+
+def test_shuffle_of_rows_alike(spark, monkeypatch):
+    """Half of all rows null in every column: they are dealt over the buckets by their number."""
+    monkeypatch.setattr(sharding, "GROUP", 3)
+    rows = [(i, f"text {i}") for i in range(500)] + [(None, None)] * 500
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.external_shuffle(frame, shards=5, bucket_bytes=400).collect()
+    assert sorted((r.record.doc_id or -1, r.record.text or "") for r in out) == sorted((i or -1, t or "") for i, t in rows)
+    assert sorted((r.shard, r.slot) for r in out) == [(k, j) for k in range(5) for j in range(200)]
+    scattered, counts = sharding._scattered(frame, F_size(), 7, 30, 400)
+    assert max(r.n for r in counts.collect()) < 120 and counts.agg({"n": "sum"}).first()[0] == 1000
+
+
+def F_size():
+    from pyspark.sql import functions as F
+
+    return F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 8
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(sharding.external_shuffle(docs, shards=3), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -426,6 +509,45 @@ def test_edit_likeness(spark, docs, empty):
     assert sketches.edit_likeness(docs).count() == docs.count()
 
 
+def literal_sketch(text, k=128):
+    """The k least of all hashes of five-word shingles, by a plain sort of the set."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return sorted(xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles)[:k]
+
+
+def test_likeness_against_sets_and_a_plain_sort(spark):
+    frame = real(spark).where("doc_id < 60")
+    order = sorted(((r.doc_id, r.text or "") for r in frame.collect()), reverse=True)
+    following = {a[0]: b[1] for a, b in zip(order, [*order[1:], order[0]])}
+    texts = dict(order)
+    for r in sketches.edit_likeness(frame).collect():
+        text = texts[r.doc_id]
+        edited = text[: len(text) - len(text) // 2] + following[r.doc_id][: len(text) // 2]
+        a, b, c = map(literal_sketch, (text, edited, following[r.doc_id]))
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{h:016x}" for h in x) for x in (a, b))
+        for got, other in ((r.near_edited, b), (r.near_next, c)):
+            least = sorted({*a, *other})[:128]
+            assert got == (sum(h in a and h in other for h in least) / len(least) if least else 1.0)
+            if len(least) < 128:  # then it is the likeness of the sets of shingles
+                assert got == (len({*a} & {*other}) / len({*a} | {*other}) if a or other else 1.0)
+
+
+def test_likeness_of_crowded_doc_ids(spark):
+    """A third of all rows without a doc_id, a third with one: all follow one another by hash and text."""
+    from pyspark.sql import functions as F
+
+    made = [(None, f"nothing {i} of {i % 7} all {i * i}") for i in range(200)] + [(77, f"same {i} id here {i % 5}") for i in range(200)] + [(i, f"text {i} by itself") for i in range(150)] + [(77, "same")] * 9
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    hashed = frame.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    want = []
+    for r, after in zip(order, [*order[1:], order[0]]):
+        edited = r.text[: len(r.text) - len(r.text) // 2] + after.text[: len(r.text) // 2]
+        want.append((r.doc_id or -1, len(r.text), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in sketches.edit_likeness(frame).collect()) == sorted(want)
+
+
 def test_sketch_estimates():
     words = [f"w{i}" for i in range(4000)]
     a, b = " ".join(words[:3000]), " ".join(words[1000:])
