@@ -263,6 +263,22 @@ def distance(a, b, metric: str = "airm", n: int | None = None) -> Column:
     return NATIVE_2[metric](a, b) if n == 2 or metric == "euclid" else _binary("distance", "double", metric)(a, b)
 
 
+def rotation_split(a, b):
+    """Array of total, spectral and rotational distance and the rotational share, for matrices of any size."""
+    return _rows("rotation_split")(_col(a), _col(b))
+
+
+@lru_cache(None)
+def _rows(name: str):
+    f = getattr(linalg, name)
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(list(f(_square(a), _square(b)))) if len(a) else a
+
+    return run
+
+
 def whiten(reference, target):
     return _binary("whiten", "array<double>")(reference, target)
 

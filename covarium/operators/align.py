@@ -126,9 +126,10 @@ def dispersion(df: DataFrame, references: DataFrame, domain: str = "subject", ma
 
 
 def rotation_split(a: str, b: str, n: int = 2):
-    """Native for 2 x 2: total, spectral and rotational distance and the rotational share of two matrix columns."""
+    """Total, spectral and rotational distance and the rotational share of two matrix columns; native for 2 x 2."""
     if n != 2:
-        raise ValueError("larger matrices: see linalg")
+        parts = M.rotation_split(a, b)
+        return F.struct(*(F.get(parts, F.lit(k)).alias(name) for k, name in enumerate(("total", "spectral", "rotational", "fraction"))))
     total = M.airm2(a, b)
     la, sa = M.eigen2(a)
     lb, sb = M.eigen2(b)

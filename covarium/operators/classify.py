@@ -57,8 +57,12 @@ def softmax_of_distances(distances):
 def mdm_fold_predictions(df: DataFrame, folds: DataFrame, metric: str = "logeuclid", n: int = 2, label: str = "label", matrix: str = "cov") -> DataFrame:
     """All folds in one plan: class means of each fold's training rows, joined to its test rows by fold.
 
-    Returns ``fold, trial_id, y_true, y_pred, distances``.
+    Returns ``fold, trial_id, y_true, y_pred, distances``. For the log-Euclidean
+    metric the logarithms are taken once, before rows are joined to folds: means
+    and distances are then Euclidean ones.
     """
+    if metric == "logeuclid":
+        df, metric = df.withColumn(matrix, M.logm2(matrix) if n == 2 else M.logm(matrix)), "euclid"
     staged = folds.join(df.select("trial_id", label, matrix), "trial_id")
     centroids = means.group_mean(staged.where("role = 'train'"), ["fold", label], matrix, metric, n)
     each = centroids.groupBy("fold").agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("c"), F.col(matrix).alias("m")))).alias("centres"))

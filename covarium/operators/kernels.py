@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from covarium.functions import matrices as M
 from covarium.functions import statevector as S
+from covarium.operators.means import blocked_pairs
 
 
 def angle_kernel(x: Column, y: Column, scale: float = 1.0) -> Column:
@@ -24,12 +25,12 @@ def rbf_kernel(x: Column, y: Column, gamma: float = 1.0) -> Column:
 def gram(df: DataFrame, kernel, key: str = "trial_id", features: str = "features") -> DataFrame:
     """``(i, j, value)`` for i <= j of a feature table; ``kernel`` is over columns x and y.
 
-    The matrix is what is asked for, so it has a row for each pair; the join is on
-    i <= j of two slim tables.
+    The matrix is what is asked for, so it has a row for each pair; pairs are made
+    in blocks of rows.
     """
     a = df.select(F.col(key).alias("i"), F.col(features).alias("x"))
     b = df.select(F.col(key).alias("j"), F.col(features).alias("y"))
-    return a.join(b, F.col("i") <= F.col("j")).select("i", "j", kernel(F.col("x"), F.col("y")).alias("value"))
+    return blocked_pairs(a, b, "i", "j").where("i <= j").select("i", "j", kernel(F.col("x"), F.col("y")).alias("value"))
 
 
 def states(df: DataFrame, feature_map: str = "zz", reps: int = 1, scale: float = 1.0, key: str = "trial_id", features: str = "features") -> DataFrame:
@@ -54,7 +55,7 @@ def fidelity_gram(df: DataFrame, feature_map: str = "zz", reps: int = 1, scale:
     b = psi.select(F.col(key).alias("j"), F.col("re").alias("br"), F.col("im").alias("bi"))
     real = M.dot(F.col("ar"), F.col("br")) + M.dot(F.col("ai"), F.col("bi"))
     imag = M.dot(F.col("ar"), F.col("bi")) - M.dot(F.col("ai"), F.col("br"))
-    return a.join(b, F.col("i") <= F.col("j")).select("i", "j", (real * real + imag * imag).alias("value"))
+    return blocked_pairs(a, b, "i", "j").where("i <= j").select("i", "j", (real * real + imag * imag).alias("value"))
 
 
 def concentration(matrix: DataFrame) -> DataFrame:

@@ -103,7 +103,25 @@ def group_mean(df: DataFrame, keys: Sequence[str], matrix: str = "cov", metric:
     return frechet_mean(df, keys, matrix, metric, weight, **options).select(*keys, F.col("cov").alias(matrix))
 
 
-def pairwise_distances(left: DataFrame, right: DataFrame | None = None, key: str = "trial_id", matrix: str = "cov", metric: str = "airm", n: int | None = None, blocks: int = 8) -> DataFrame:
+#: Rows of a block of a side of a matrix of pairs.
+BLOCK_ROWS = 2048
+
+
+def blocked_pairs(left: DataFrame, right: DataFrame, i: str, j: str, blocks: int | None = None) -> DataFrame:
+    """All pairs of rows of two tables, whose keys are ``i`` and ``j``: each row is dealt to a row or a column of blocks, and blocks are joined.
+
+    No side is broadcast or held whole; a block has some thousand rows of either
+    side, however many rows there are.
+    """
+    if blocks is None:
+        blocks = max(1, -(-max(left.count(), right.count()) // BLOCK_ROWS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = left.withColumn("block_row", F.pmod(F.xxhash64(i), F.lit(blocks)).cast("int")).withColumn("block_column", every)
+    columns = right.withColumn("block_column", F.pmod(F.xxhash64(j), F.lit(blocks)).cast("int")).withColumn("block_row", every)
+    return rows.join(columns, ["block_row", "block_column"]).drop("block_row", "block_column")
+
+
+def pairwise_distances(left: DataFrame, right: DataFrame | None = None, key: str = "trial_id", matrix: str = "cov", metric: str = "airm", n: int | None = None, blocks: int | None = None) -> DataFrame:
     """Distances ``(i, j, value)`` of all pairs, in blocks.
 
     The whole matrix is what the operator is asked for, so it has as many rows as
@@ -111,12 +129,9 @@ def pairwise_distances(left: DataFrame, right: DataFrame | None = None, key: str
     diagonal is exactly 0. Rows are dealt to blocks and blocks joined, so no task
     holds a whole side.
     """
-    side = left.select(F.col(key).alias("i"), F.col(matrix).alias("a"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("p"))
+    side = left.select(F.col(key).alias("i"), F.col(matrix).alias("a"))
     other = left if right is None else right
-    grid = other.select(F.col(key).alias("j"), F.col(matrix).alias("b"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("q"))
-    dealt = side.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.col("q").cast("long"))
-    own = grid.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("p", F.col("p").cast("long"))
-    pairs = dealt.join(own, ["p", "q"])
+    pairs = blocked_pairs(side, other.select(F.col(key).alias("j"), F.col(matrix).alias("b")), "i", "j", blocks)
     if right is not None:
         return pairs.select("i", "j", M.distance("a", "b", metric, n).alias("value"))
     upper = pairs.where("i < j").select("i", "j", M.distance("a", "b", metric, n).alias("value"))

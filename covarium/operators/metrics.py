@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-METRICS = ("accuracy", "balanced_accuracy", "kappa", "f1_macro", "roc_auc")
+LABEL_METRICS = ("accuracy", "balanced_accuracy", "kappa", "f1_macro")
+METRICS = (*LABEL_METRICS, "roc_auc")
 
 
 def confusion(df: DataFrame, keys: Sequence[str] = (), truth: str = "y_true", guess: str = "y_pred") -> DataFrame:

@@ -12,11 +12,30 @@ from pyspark.sql import functions as F
 from covarium.functions.distributions import NORMAL, fisher_interval
 
 
+#: Ranges of values whose counts are summed to number them without ordering all in one task.
+RANGES = 64
+
+
 def average_rank(df: DataFrame, column: str, output: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1, equals share their mean rank."""
-    part = Window.partitionBy(*(list(keys) or [F.lit(0)]))
-    tied = Window.partitionBy(*keys, column)
-    return df.withColumn(output, F.rank().over(part.orderBy(column)) + (F.count(F.lit(1)).over(tied) - 1) / 2)
+    """Ranks from 1, equals share their mean rank.
+
+    Without ``keys`` distinct values are counted, ranged by quantiles of a sketch and
+    numbered in their range behind the counts of the ranges before.
+    """
+    keys = list(keys)
+    if keys:
+        tied = Window.partitionBy(*keys, column)
+        return df.withColumn(output, F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (F.count(F.lit(1)).over(tied) - 1) / 2)
+    value = F.col(column).cast("double")
+    bounds = sorted(set(df.select(value.alias("v")).approxQuantile("v", [k / RANGES for k in range(1, RANGES)], 0.01)))
+    part = sum(((value > b).cast("int") for b in bounds), F.lit(0))
+    cells = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rank_n")).withColumn("rank_part", part)
+    sums = cells.groupBy("rank_part").agg(F.sum("rank_n").alias("rank_sum"))  # a row for each range
+    starts = sums.select("rank_part", (F.sum("rank_sum").over(Window.orderBy("rank_part")) - F.col("rank_sum")).alias("rank_start"))
+    before = Window.partitionBy("rank_part").orderBy(column)
+    numbered = cells.withColumn("rank_before", F.sum("rank_n").over(before) - F.col("rank_n")).join(F.broadcast(starts), "rank_part")
+    ranks = numbered.select(column, (F.col("rank_start") + F.col("rank_before") + (F.col("rank_n") + 1) / 2).alias(output))
+    return df.join(ranks, column, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -44,8 +63,8 @@ def group_mean_join_back(df: DataFrame, keys: Sequence[str], value: str, least:
 
 def jackknife(df: DataFrame, value: str = "d") -> DataFrame:
     """Leave-one-out means of each row, from the total: no pairs."""
-    whole = Window.partitionBy(F.lit(0))
-    return df.withColumn("loo_mean", (F.sum(value).over(whole) - F.col(value)) / (F.count(value).over(whole) - 1))
+    whole = df.agg(F.sum(value).alias("loo_sum"), F.count(value).alias("loo_n"))  # one row
+    return df.join(F.broadcast(whole)).withColumn("loo_mean", (F.col("loo_sum") - F.col(value)) / (F.col("loo_n") - 1)).drop("loo_sum", "loo_n")
 
 
 @dataclass(frozen=True)
@@ -128,3 +147,24 @@ def spearman_ci(x: Sequence[float], y: Sequence[float], n_boot: int = 2000, seed
     seen = rho(x, y)
     usable = len(draws) >= n_boot / 10
     return {"rho": seen, "n": len(x), "bootstrap": tuple(np.quantile(draws, (0.025, 0.975))) if usable else None, "fisher": fisher_interval(seen, len(x))}
+
+
+def describe(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``n, mean, std, least, q25, q50, q75, most`` of a column by group, quartiles interpolated."""
+    quarters = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), quarters.alias("q"), F.max(value).alias("most"))
+    return out.select(*keys, "n", "mean", "std", "least", *(F.get("q", F.lit(k)).alias(f"q{25 * (k + 1)}") for k in range(3)), "most")
+
+
+def slope_error(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``slope, se, n`` of a least-squares line by group: the interval is the slope and its error times a t quantile of n - 2."""
+    out = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_count(y, x).alias("n"))
+    rest = F.greatest(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0))
+    return out.select(*keys, "slope", F.sqrt(rest / (F.col("n") - 2) / F.col("sxx")).alias("se"), "n")
+
+
+def slope_interval(slope: float, se: float, n: int, confidence: float = 0.95) -> tuple[float, float]:
+    from covarium.functions.distributions import t_ppf
+
+    half = t_ppf((1 + confidence) / 2, n - 2) * se
+    return slope - half, slope + half

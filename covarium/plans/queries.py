@@ -336,7 +336,7 @@ SELECT {k}{', '.join(f'{out[c]} AS {c}' for c in cols.split(', '))} FROM fin"""
 
 
 def rounded(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, "n", *(r(m).alias(m) for m in metrics.METRICS))
+    return df.select(*keys, "n", *(r(m).alias(m) for m in metrics.LABEL_METRICS))
 
 
 @query(score_sql(MDM, "fold"))
