@@ -1,16 +1,19 @@
 """Licence scans: a trained paragraph classifier whose findings templates confirm.
 
-Paragraphs are lines. A sparse logistic regression over word 1- to 3-grams, one
-weight vector for each licence family and one for "unknown", is trained on the
-templates below in many altered forms and on a bounded sample of the corpus's own
-paragraphs as unknown. The bar over which a family counts is calibrated on held-out
-altered templates and paragraphs. What passes is compared with its family's
-templates and kept if enough of its words and word pairs are a template's.
+A sparse logistic regression over word 1- to 3-grams, one weight vector for each
+licence family and one for "unknown", is trained on the templates below in many
+altered forms, and as unknown on near misses and on a bounded sample of the corpus's
+own windows. The bar over which a family counts is calibrated on held-out altered
+templates and windows. Paragraphs are the stretches of a text around words that
+tell a family: of a line or a part of it, or of some lines in a row, as notices are
+wrapped. What passes is compared with its family's templates and kept if enough of
+a template's words and word pairs are in it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from covarium.llm.common import text_or_empty, thinned
 
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-#: Bound of the sample of paragraphs that are learnt as unknown, and the share of them that may pass the bar.
-SAMPLE_PARAGRAPHS, FALSE_RATE = 4000, 1e-3
+#: Bound of the sample of windows that are learnt as unknown, characters of each, and the share of them that may pass the bar.
+SAMPLE_PARAGRAPHS, SAMPLE_CHARS, FALSE_RATE = 4000, 600, 1e-3
+#: Words between telling words of one stretch, words and lines of a paragraph at most, words around one that a template may begin or end with.
+GAP, LONGEST, LINES, AROUND = 12, 80, 6, 30
 LEAST_LIKENESS = 0.5
 ALTERED = 60
 UNKNOWN = "unknown"
@@ -112,7 +117,9 @@ def words_of(paragraph: str) -> list[str]:
 
 
 def _grams(words: list[str]) -> set[str]:
-    return {*words, *map(" ".join, zip(words, words[1:])), *map(" ".join, zip(words, words[1:], words[2:]))}
+    """1- to 3-grams of words, and the parts of hyphenated ones, which name a family in many identifiers."""
+    parts = [p for w in words if "-" in w for p in w.split("-")]
+    return {*words, *parts, *map(" ".join, zip(words, words[1:])), *map(" ".join, zip(words, words[1:], words[2:]))}
 
 
 def _altered(rng: np.random.Generator, template: str, filler: list[str]) -> str:
@@ -151,22 +158,31 @@ def likeness(words: list[str], family: str) -> float:
 _template_grams = {f: [{*w, *zip(w, w[1:])} for t in ts if (w := words_of(t))] for f, ts in TEMPLATES.items()}
 
 
-def fit(paragraphs: list[str], seed: int = 5, rounds: int = 300) -> Model:
-    """Train on altered templates against ``paragraphs`` and near misses; a fifth of each is held out for the bar."""
+def fit(windows: list[str], seed: int = 5, rounds: int = 300, left_out: frozenset[str] = frozenset()) -> Model:
+    """Train on altered templates against ``windows`` of the corpus and near misses; a fifth of each is held out for the bar.
+
+    Windows that a template confirms are no unknown ones and not used. ``left_out``
+    are templates that aren't learnt from, to measure what is found of unseen ones.
+    """
     rng = np.random.default_rng(seed)
-    plain = [p for p in paragraphs if not re.search(r"licen[cs]|copyright|spdx|warrant|creative commons", p.lower())]
-    filler = sorted({w for p in plain[:200] for w in p.split()})[:500] or ["text", "page", "note"]
+    plain = [w for p in windows if (w := words_of(p)) and all(likeness(w, f) < LEAST_LIKENESS for f in TEMPLATES)]
+    filler = sorted({w for p in plain[:200] for w in p})[:500] or ["text", "page", "note"]
     families = (*TEMPLATES, UNKNOWN)
     texts, labels = [], []
     for k, family in enumerate(TEMPLATES):
         for template in TEMPLATES[family]:
-            texts += [template, *(_altered(rng, template, filler) for _ in range(ALTERED))]
-            labels += [k] * (ALTERED + 1)
-    misses = [*plain, *NEAR_MISSES, *(_altered(rng, m, filler) for m in NEAR_MISSES for _ in range(ALTERED // 2)), ""]
+            if template not in left_out:
+                texts += [template, *(_altered(rng, template, filler) for _ in range(ALTERED))]
+                labels += [k] * (ALTERED + 1)
+    pieces = []
+    for p in plain:
+        start = int(rng.integers(0, len(p)))
+        pieces.append(" ".join(p[start : start + int(rng.integers(2, 60))]))
+    misses = [*pieces, *NEAR_MISSES, *(_altered(rng, m, filler) for m in NEAR_MISSES for _ in range(ALTERED // 2)), ""]
     texts += misses
     labels += [len(families) - 1] * len(misses)
     grams = [_grams(words_of(t)) for t in texts]
-    size = np.array([max(1, len(words_of(t))) ** 0.5 for t in texts])
+    size = np.array([max(1, len(words_of(t))) ** 0.5 for t in texts], np.float32)
     y = np.array(labels)
     held = rng.random(len(y)) < 0.2
     seen: dict[str, int] = {}
@@ -176,40 +192,37 @@ def fit(paragraphs: list[str], seed: int = 5, rounds: int = 300) -> Model:
                 seen[x] = seen.get(x, 0) + 1
     stated = {x for ts in TEMPLATES.values() for t in ts for x in _grams(words_of(t))} | {x for t in NEAR_MISSES for x in _grams(words_of(t))}
     vocabulary = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= 3 and x in stated))}
-    rows = np.repeat(np.arange(len(y)), [len([x for x in g if x in vocabulary]) for g in grams])
-    cols = np.array([vocabulary[x] for g in grams for x in g if x in vocabulary])
-    values = 1 / size[rows]
-    w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
+    # some thousands of texts by some thousands of grams
+    x = np.zeros((len(y), len(vocabulary)), np.float32)
+    for i, g in enumerate(grams):
+        x[i, [vocabulary[w] for w in g if w in vocabulary]] = 1 / size[i]
+    train = np.flatnonzero(~held)
+    x, target = x[train], np.eye(len(families), dtype=np.float32)[y[train]]
+    balance = (1 / np.bincount(y[train], minlength=len(families)).clip(1))[y[train]].astype(np.float32)[:, None]
+    w, b = np.zeros((len(vocabulary), len(families)), np.float32), np.zeros(len(families), np.float32)
     gw, gb = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
-    target = np.eye(len(families))[y]
-    train = ~held
-    balance = (1 / np.bincount(y[train], minlength=len(families)).clip(1))[y] * train
     for _ in range(rounds):
-        z = np.tile(b, (len(y), 1))
-        np.add.at(z, rows, values[:, None] * w[cols])
+        z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        d = (p - target) * balance[:, None]
-        grad = np.zeros_like(w)
-        np.add.at(grad, cols, values[:, None] * d[rows])
-        grad += 1e-5 * w
+        d = (p - target) * balance
+        grad = x.T @ d + 1e-5 * w
         gw += grad**2
         gb += d.sum(axis=0) ** 2
         w -= 0.5 * grad / np.sqrt(gw)
         b -= 0.5 * d.sum(axis=0) / np.sqrt(gb)
-    model = Model(families, {x: tuple(w[i]) for x, i in vocabulary.items()}, tuple(b), 0.5)
-    top = np.array([1 - model.probabilities(words_of(t))[-1] for t, h, k in zip(texts, held, labels) if h and k == len(families) - 1])
-    bar = float(np.quantile(top, 1 - FALSE_RATE)) if len(top) else 0.5
-    return Model(model.families, model.weights, model.bias, min(0.95, max(0.5, bar)))
+    model = Model(families, {g: tuple(map(float, w[i])) for g, i in vocabulary.items()}, tuple(map(float, b)), 0.5)
+    top = [1 - model.probabilities(words_of(t))[-1] for t, h, k in zip(texts, held, labels) if h and k == len(families) - 1]
+    return Model(model.families, model.weights, model.bias, float(np.quantile(top, 1 - FALSE_RATE)) if top else 0.5)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS) -> Model:
-    """Fit on the corpus's own paragraphs: the first ``sample`` documents by a hash of their doc_id give one line each."""
+    """Fit on the corpus's own windows: the first ``sample`` documents by a hash of their doc_id give one each, from anywhere in the text."""
     text = text_or_empty()
-    line = F.element_at(F.split(text, "\n"), 1 + F.pmod(F.xxhash64("doc_id"), F.size(F.split(text, "\n"))).cast("int"))
+    start = 1 + F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS))
     few = docs.where(thinned(F.xxhash64("doc_id"), docs.count(), sample))
-    rows = few.select(F.xxhash64("doc_id").alias("h"), F.substring(line, 1, 2000).alias("line")).where("line <> ''").orderBy("h", "line").limit(sample)
-    return fit([r["line"] for r in rows.collect()])
+    rows = few.select(F.xxhash64("doc_id").alias("h"), F.substring(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("window")).where("window <> ''").orderBy("h", "window").limit(sample)
+    return fit([r["window"] for r in rows.collect()])
 
 
 def _telling(model: Model) -> set[str] | None:
@@ -224,33 +237,67 @@ def _telling(model: Model) -> set[str] | None:
     return out
 
 
+def paragraphs(words: list[str], lines: list[int], telling: set[str] | None) -> Iterator[tuple[int, int]]:
+    """Spans of words that may state a licence, around telling words at most ``GAP`` words apart.
+
+    Of each stretch of one line or of some in a row, windows of ``LONGEST`` words
+    that overlap by half where it is longer.
+    """
+    at = [i for i, w in enumerate(words) if telling is None or w in telling]
+    cuts = [0, *(k for k in range(1, len(at)) if at[k] - at[k - 1] > GAP), len(at)]
+    for a, b in zip(cuts, cuts[1:]):
+        own = at[a:b]
+        starts = [k for k in range(len(own)) if not k or lines[own[k]] != lines[own[k - 1]]] + [len(own)]
+        for i in range(len(starts) - 1):
+            for j in range(i + 1, min(i + LINES, len(starts) - 1) + 1):
+                first, last = own[starts[i]], own[starts[j] - 1]
+                if last - first < LONGEST:
+                    yield first, last + 1
+                elif j == i + 1 or j == min(i + LINES, len(starts) - 1):
+                    for k in range(first, last + 1, LONGEST // 2):
+                        yield k, min(last + 1, k + LONGEST)
+
+
+def statements(text: str, model: Model, telling: set[str] | None) -> list[tuple[int, int, str, float, float]]:
+    """``line, last line, family, probability, likeness`` of each statement in a text, in order; of overlapping paragraphs the likest, shortest one."""
+    lowered = text.lower()
+    words = WORD.findall(lowered)
+    if telling is not None and telling.isdisjoint(words):
+        return []
+    ends = [m.start() for m in re.finditer("\n", lowered)]
+    lines = [bisect_left(ends, m.start()) for m in WORD.finditer(lowered)]
+    found = []
+    for a, b in dict.fromkeys(paragraphs(words, lines, telling)):
+        p = model.probabilities(words[max(0, a - 2) : b + 2])
+        k = int(p[:-1].argmax())
+        if 1 - p[-1] > model.bar and p[k] > p[-1]:
+            alike = likeness(words[max(0, a - AROUND) : b + AROUND], model.families[k])
+            if alike >= LEAST_LIKENESS:
+                found.append((-alike, b - a, a, b, k, float(p[k])))
+    taken: list[tuple[int, int]] = []
+    out = []
+    for minus, _, a, b, k, p in sorted(found):
+        if all(b <= c or a >= d for c, d in taken):
+            taken.append((a, b))
+            out.append((a, lines[a], lines[b - 1], model.families[k], p, -minus))
+    return [row[1:] for row in sorted(out)]
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """Licence statements in whole texts, one row for each paragraph that states one.
+    """Licence statements in whole texts, one row for each.
 
-    Returns ``doc_id, paragraph`` (line number from 0), ``family, probability,
-    template_likeness``. Null, empty and licence-free texts give no rows; repeated
-    rows and null doc_ids give theirs; an empty table gives an empty one; other
-    columns are not read. A paragraph of any length is classified whole.
+    Returns ``doc_id, paragraph, last_paragraph`` (line numbers from 0), ``family,
+    probability, template_likeness``. Null, empty and licence-free texts give no
+    rows; repeated rows and null doc_ids give theirs; an empty table gives an empty
+    one; other columns are not read. Lines of any length are looked at whole.
     """
-    schema = "doc_id long, paragraph int, family string, probability double, template_likeness double"
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
+    schema = "doc_id long, paragraph int, last_paragraph int, family string, probability double, template_likeness double"
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
     telling = _telling(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for number, paragraph in enumerate(text.as_py().split("\n")):
-                    words = words_of(paragraph)
-                    if telling is not None and telling.isdisjoint(words):
-                        continue
-                    p = model.probabilities(words)
-                    k = int(p[:-1].argmax())
-                    if 1 - p[-1] <= model.bar or p[k] <= p[-1]:
-                        continue
-                    found = likeness(words, model.families[k])
-                    if found >= LEAST_LIKENESS:
-                        rows.append((doc, number, model.families[k], float(p[k]), found))
+            rows = [(doc, *row) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for row in statements(text.as_py(), model, telling)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in schema.split(", ")])
 
