@@ -160,10 +160,14 @@ class PrefixTable:
         return self.bpe.tokens(self.last)
 
 
+#: The pattern (a fixed value) that words behind single spaces can be cut by on their own.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class TextEncoder:
     """Encodes whole texts: each match of the pattern is a piece.
 
-    A match that ends before a single space between two other characters ends
+    With any other pattern than ``SPACED`` texts are cut as a whole. With it, a match that ends before a single space between two other characters ends
     there whatever follows, so words behind such spaces are memoised with their
     space; a text with any other white space beside a space is cut by the pattern
     as a whole. Memos are bounded and of two generations, so that what was used
@@ -173,7 +177,7 @@ class TextEncoder:
     """
 
     def __init__(self, bpe: PrefixBpe, pattern: str) -> None:
-        self.bpe, self.pattern = bpe, regex.compile(pattern)
+        self.bpe, self.pattern, self.spaced = bpe, regex.compile(pattern), pattern == SPACED
         self.words: dict[str, bytes | None] = {}
         self.words_old: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
@@ -220,6 +224,10 @@ class TextEncoder:
             self.words, self.words_old, self.held = {}, self.words, 0
         if len(self.pieces) > MEMO_ENTRIES // 2 or self.piece_chars > MEMO_CHARS:
             self.pieces, self.pieces_old, self.piece_chars = {}, self.pieces, 0
+        if not self.spaced:
+            cut = [[m[0] for m in self.pattern.finditer(t)] for t in texts]
+            self._learn_pieces({p for parts in cut for p in parts})
+            return [np.frombuffer(self._codes(parts), "<u4") for parts in cut]
         words, old = self.words, self.words_old
         split, new = [], {}
         for text in texts:

@@ -449,6 +449,20 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.mark.parametrize("pattern", [r"\p{L}{1,3}|\s+|[^\s\p{L}]+", r" ?[a-m]+| ?(?:[n-z]|\p{Lu})+|\s|.", public_tokenizers.PATTERN])
+def test_bpe_of_other_patterns(pattern):
+    """Patterns that cut inside words and leave characters out, as the library has them."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    want = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = [r[1] or "" for r in rows()]
+    got = bpe.TextEncoder(bpe.PrefixBpe(bpe.load_ranks(path)), pattern).encode(texts)
+    assert bpe.SPACED == public_tokenizers.PATTERN
+    assert [g.tolist() for g in got] == [want.encode_ordinary(t) for t in texts]
+
+
 def test_bpe(spark, docs, empty):
     plain = reference_encoding()
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
