@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
 kept. All but the last return the columns of ``documents``; the last returns the
-packed pieces.
+packed pieces. In all of them null texts count as empty, other columns and their
+names don't matter, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from covarium.llm import packing, passages, quality, simhash, toxicity
-from covarium.llm.common import materialise
+from covarium.llm.common import discard, materialise
 from covarium.session import ship_package
 
 
@@ -20,31 +21,31 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and empty texts among them; repeated rows alike, null doc_ids are judged."""
     ship_package(spark)
     return quality.keep(docs, _labels(spark, sf_dir))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go; null and empty texts stay, repeated rows alike, null doc_ids are scored."""
     ship_package(spark)
     return toxicity.keep_ordinary(docs, toxicity.learn(docs, _labels(spark, sf_dir)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id."""
+    """One document of each group of near duplicates stays, that of the smallest doc_id; empty texts are one group, rows without doc_id all stay."""
     ship_package(spark)
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages stay in the first document that has them."""
+    """Passages stay in the first document that has them; rows without doc_id and null or empty texts stay as they are."""
     ship_package(spark)
     return passages.drop_shared(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining texts as pieces of sequences of 4096 tokens."""
+    """The remaining texts as pieces of sequences of 4096 tokens; a null or empty text is the end token alone, repeated rows are packed each."""
     ship_package(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,10 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to shared storage and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each returns is written to shared storage and read again, and dropped when the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir))
+        docs, path = materialise(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, [before])
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
