@@ -15,6 +15,31 @@ def domain_references(df: DataFrame, domain: str = "subject", matrix: str = "cov
     return means.group_mean(df, [domain], matrix, metric, n, **options).withColumnRenamed(matrix, "reference")
 
 
+def check_matrices(df: DataFrame, matrix: str = "cov", key: str = "trial_id", n: int | None = None) -> int:
+    """The order of all matrices, in one aggregate; what is not a table of finite symmetric positive-definite ones of one order is an error.
+
+    It names up to five rows at fault by ``key`` and says what a singular matrix
+    commonly comes from.
+    """
+    side = F.sqrt(F.size(matrix)).cast("int")
+    wrong = F.col(matrix).isNull() | F.exists(matrix, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    shape = df.agg(F.count(F.lit(1)).alias("rows"), F.min(side).alias("least"), F.max(side).alias("most"), F.count_if(F.size(matrix) != side * side).alias("odd"), F.count_if(wrong).alias("wrong")).first()
+    named = lambda where: [r[0] for r in df.where(where).select(key).limit(5).collect()]
+    if not shape["rows"]:
+        raise ValueError("there are no matrices")
+    if shape["wrong"]:
+        raise linalg.SPDError(f"{shape['wrong']} matrices with missing or infinite entries, as of {key} {named(wrong)}")
+    if shape["odd"]:
+        raise linalg.NotSquareError(f"{shape['odd']} matrices that are not square, as of {key} {named(F.size(matrix) != side * side)}")
+    if shape["least"] != shape["most"]:
+        raise ValueError(f"matrices of {shape['least']} to {shape['most']} channels in one table")
+    if n is not None and shape["least"] != n:
+        raise ValueError(f"matrices of {shape['least']} channels where {n} were fitted")
+    if bad := named(~M.is_spd(matrix)):
+        raise linalg.NotPositiveDefiniteError(f"matrices that are not positive definite, as of {key} {bad}: too few samples for the channels, a common reference, or a dead channel; shrinkage mends the first")
+    return shape["least"]
+
+
 def check_domains(df: DataFrame, references: DataFrame, domain: str) -> None:
     missing = df.select(domain).distinct().join(references.select(domain), domain, "left_anti").limit(5).collect()
     if missing:
@@ -44,6 +69,12 @@ def alignment_quality(df: DataFrame, domain: str = "subject", matrix: str = "cov
     return d.agg(F.count("d").alias("n_domains"), F.max("d").alias("max_distance"), F.avg("d").alias("mean_distance"))
 
 
+def _of_size(matrix: str, size: int):
+    """The matrix column; another number of entries than was fitted is an error when it is read."""
+    message = F.concat(F.lit(f"a matrix of {size} entries was fitted, not of "), F.size(matrix).cast("string"))
+    return F.when(F.size(matrix) == size, F.col(matrix)).otherwise(F.raise_error(message))
+
+
 class RiemannianAlignment:
     """Estimator: a reference for each domain. That the test domain's unlabelled data is used must be declared."""
 
@@ -64,6 +95,10 @@ class RiemannianAlignment:
     def transform(self, df: DataFrame) -> DataFrame:
         if self.references is None:
             raise ValueError("not fitted")
+        sizes = self.references.select(F.size("reference").alias("n")).distinct().collect()  # one, but for faults
+        if len(sizes) > 1:
+            raise ValueError("domains of different numbers of channels")
+        df = df.withColumn("cov", _of_size("cov", sizes[0]["n"])) if sizes else df
         return align_domains(df, self.references, self.domain)
 
     def fit_transform(self, df: DataFrame, domain: str = "subject") -> DataFrame:
@@ -95,7 +130,8 @@ class TangentSpace:
         return F.array(*map(F.lit, self.reference))
 
     def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
-        return df.withColumn(output, M.tangent(self.matrix, self._point(), self.metric))
+        point = self._point()
+        return df.withColumn(output, M.tangent(_of_size(self.matrix, len(self.reference)), point, self.metric))
 
     def inverse_transform(self, df: DataFrame, features: str = "features") -> DataFrame:
         return df.withColumn(self.matrix, M.untangent(features, self._point(), self.metric))

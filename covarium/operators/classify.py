@@ -27,6 +27,10 @@ class MDM:
 
     def fit(self, df: DataFrame, label: str = "label", matrix: str = "cov", weight: str | None = None) -> MDM:
         self.matrix = matrix
+        if weight is not None:
+            odd = df.agg(F.count_if(F.col(weight).isNull() | F.isnan(F.col(weight).cast("double")) | (F.col(weight) < 0)).alias("n")).first()["n"]
+            if odd:
+                raise ValueError(f"{odd} weights that are missing or negative")
         rows = means.group_mean(df, [label], matrix, self.metric, self.n, weight, **self.options).collect()  # one row for each class
         rows.sort(key=lambda r: r[label])
         if len(rows) < 2:

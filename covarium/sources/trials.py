@@ -30,6 +30,17 @@ class Summary:
     class_balance: dict
     trials_per_subject: dict
 
+    def duration(self, rate: float) -> float:
+        """Seconds of a trial at a sampling rate."""
+        return self.n_times / rate
+
+    @property
+    def samples_per_channel(self) -> float:
+        return self.n_times / self.n_channels
+
+    def __str__(self) -> str:
+        return f"{self.n_trials} trials of {self.n_channels} x {self.n_times}, {self.n_subjects} subjects, {self.n_classes} classes, chance {self.chance_accuracy:.3f}"
+
 
 def validate(trials: DataFrame) -> dict:
     """Check a trial table in one aggregate: shapes alike, finite, two classes, more samples than channels."""
@@ -76,11 +87,11 @@ def select_subjects(trials: DataFrame, subjects: list) -> DataFrame:
 
 def take(trials: DataFrame, positions: list[int]) -> DataFrame:
     """Rows by position in trial_id order, in the given order and as often as given; ``position`` says where."""
-    from pyspark.sql import Window
+    from covarium.operators.rank import average_rank
 
     spark = trials.sparkSession
     wanted = spark.createDataFrame([(int(p), k) for k, p in enumerate(positions)], "at long, position int")
-    ranked = trials.withColumn("at", (F.row_number().over(Window.orderBy("trial_id")) - 1).cast("long"))
+    ranked = average_rank(trials, "trial_id", "at").withColumn("at", (F.col("at") - 1).cast("long"))
     return ranked.join(F.broadcast(wanted), "at").drop("at").orderBy("position")
 
 

@@ -386,3 +386,33 @@ def test_mixed_model():
     means_, within = y.reshape(20, 5).mean(axis=1), y.reshape(20, 5).var(axis=1, ddof=1).mean()
     one = mixed.fit(np.ones((100, 1)), y, g)
     assert one.residual == pytest.approx(within, rel=1e-3) and one.random[0, 0] == pytest.approx(means_.var(ddof=1) - within / 5, rel=1e-3)
+
+
+def test_estimators_name_what_is_wrong(spark):
+    df = clouds(spark, 4, 2)
+    n = align.check_matrices(df)
+    assert n == round(len(df.first()["cov"]) ** 0.5)
+    for change, error in (
+        ("array(1D, 2D, 2D, 1D)", linalg.NotPositiveDefiniteError), ("array(1D, double('nan'), 0D, 1D)", linalg.SPDError), ("array(1D, 0D, 1D)", linalg.NotSquareError), ("array(4D)", ValueError),
+    ):
+        first = df.first()["trial_id"]
+        with pytest.raises(error) as caught:
+            align.check_matrices(df.withColumn("cov", F.expr(f"if(trial_id = {first}, {change}, cov)")))
+        assert str(first) in str(caught.value) or error is ValueError
+    with pytest.raises(ValueError):
+        align.check_matrices(df, n=n + 1)
+    space = align.TangentSpace("logeuclid").fit(df)
+    with pytest.raises(Exception, match="was fitted"):
+        space.transform(df.withColumn("cov", F.expr("array(1D)"))).collect()
+    with pytest.raises(ValueError, match="weights"):
+        classify.MDM("euclid", n=n).fit(df.withColumn("w", F.lit(-1.0)), weight="w")
+
+
+def test_rotation_of_any_size_keeps_its_parts():
+    rng = np.random.default_rng(5)
+    a = linalg.random_spd(5, rng, 4, 30.0)
+    turn = np.linalg.qr(rng.standard_normal((5, 5)))[0]
+    out = linalg.rotation_split(a, linalg.congruence(turn, a))
+    assert np.allclose(out[:, 1], 0, atol=1e-8) and np.allclose(out[:, 0], out[:, 2]) and np.allclose(out[:, 3], 1)
+    scaled = linalg.rotation_split(a, 2 * a)
+    assert np.allclose(scaled[:, 0], np.sqrt(5) * np.log(2)) and np.allclose(scaled[:, 2], 0, atol=1e-6)
