@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covarium.llm.common import SPACES, fresh, materialise, text_or_empty
+from covarium.llm.common import SPACES, materialise, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Share of good documents that all rules together may reject in a stratum, the chance of exceeding it, and the weight of a good one.
 RISK, LEVEL, WEIGHT = 0.05, 0.05, 4
 POSITION_BITS = 22
+#: Strata with cutoffs, a row of some numbers each, up to which they are sent to the rows.
+FEW_STRATA = 4096
 
 #: Ratios that are high in bad documents, and the cutoffs that are tested for each.
 RULES: dict[str, tuple[str, list[float]]] = {
@@ -133,13 +135,16 @@ def base_failed() -> Column:
 def certified_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, weight: int = WEIGHT) -> DataFrame:
     """``(stratum, rule, cutoff, n_good, k_good, k_bad, p_value)``: the chosen certified cutoffs.
 
-    ``counted`` has doc_id, stratum and the counts; ``labels`` doc_id and quality.
-    A document is judged by a rule only if the base rules keep it. A stratum with
+    ``counted`` has doc_id, row_key, stratum and the counts; ``labels`` doc_id and
+    quality. Copies of a text are no independent trials: they are one, bad if any
+    label says so. A document is judged by a rule only if the base rules keep it. A stratum with
     too few labels, or a rule that finds nothing worth its harm, has no cutoff.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     held = counted.where(~base_failed()).join(known, "doc_id")
-    level_of = [F.struct(F.lit(r).alias("rule"), sum((F.when(F.expr(ratio) > c, 1).otherwise(0) for c in grid), F.lit(0)).alias("above")) for r, (ratio, grid) in RULES.items()]
+    ratios = {rule: F.expr(ratio) for rule, (ratio, _) in RULES.items()}
+    held = held.select("stratum", "row_key", "quality", *(v.alias(k) for k, v in ratios.items())).groupBy("stratum", "row_key").agg(F.min("quality").alias("quality"), *(F.first(k).alias(k) for k in ratios))
+    level_of = [F.struct(F.lit(r).alias("rule"), sum((F.when(F.col(r) > c, 1).otherwise(0) for c in grid), F.lit(0)).alias("above")) for r, (_, grid) in RULES.items()]
     cells, _ = materialise(held.select("stratum", "quality", F.explode(F.array(*level_of)).alias("x")).groupBy("stratum", "x.rule", "x.above").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")))
     spark = counted.sparkSession
     grid = spark.createDataFrame([(r, k + 1, c) for r, (_, g) in RULES.items() for k, c in enumerate(g)], "rule string, place int, cutoff double")
@@ -167,25 +172,38 @@ def _key() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """Counts and verdict of every row: ``doc_id, row_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
 
-    ``row_key`` is a hash of text and lang, by which ``keep`` finds the row again.
+    ``row_key`` is a hash of text and lang.
     Null text has no words and fails; a null lang is a stratum. Repeated rows are
     judged each; null doc_ids are judged and label nothing. An empty table gives
     an empty one; without labels only the base rules hold.
     """
-    keep = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), _key().alias("row_key")]
+    judged = _judged(docs, labels, [], risk, level)
+    return judged.select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, extra: list[Column], risk: float, level: float) -> DataFrame:
+    """The counts, ``extra`` columns of ``docs``, ``base_failed`` and ``kept``."""
+    keep = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), _key().alias("row_key"), *extra]
     counted, _ = materialise(counts(docs, keep))
     chosen = certified_cutoffs(counted, labels, risk, level)
     limits = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES))
     fails = F.lit(False)
     for r, (ratio, _) in RULES.items():
         fails = fails | F.coalesce(F.expr(ratio) > F.col(f"max_{r}"), F.lit(False))
-    return counted.join(limits, "stratum", "left").select(
-        "doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~fails).alias("kept")
-    )
+    limits, _ = materialise(limits)
+    if limits.count() <= FEW_STRATA:  # so that no text is shuffled
+        limits = F.broadcast(limits)
+    return counted.join(limits, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~fails)
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    names = [fresh(docs, c) for c in ("kept_id", "kept_key")]
-    kept = judge(docs, labels, risk, level).where("kept").select(F.col("doc_id").alias(names[0]), F.col("row_key").alias(names[1])).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[names[0]]) & (F.xxhash64(docs["text"], docs["lang"]) == kept[names[1]]), "left_semi")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    They are carried through the table of the counts, so no text is shuffled unless
+    there are over ``FEW_STRATA`` strata. Null
+    and empty texts fail the base rules; repeated rows stay or go together; null
+    doc_ids are judged; names that clash don't matter; an empty table gives an
+    empty one.
+    """
+    judged = _judged(docs, labels, [F.struct(*docs.columns).alias("record")], risk, level)
+    return judged.where("kept").select("record.*")

@@ -10,8 +10,9 @@ BLANK = "\\x20\\x09-\\x0D"
 def quality_sql() -> str:
     """Counts, certified cutoffs and verdicts of the quality rules."""
     ratios = ", ".join(f"({ratio}) AS {rule}" for rule, (ratio, _) in quality.RULES.items())
+    firsts = ", ".join(f"any_value({rule}) AS {rule}" for rule in quality.RULES)
     grid = ", ".join(f"('{rule}', {k}, {c}::DOUBLE)" for rule, (_, g) in quality.RULES.items() for k, c in enumerate(g))
-    long = " UNION ALL ".join(f"SELECT doc_id, stratum, quality, '{rule}' AS rule, {rule} AS value FROM held" for rule in quality.RULES)
+    long = " UNION ALL ".join(f"SELECT stratum, quality, '{rule}' AS rule, {rule} AS value FROM held" for rule in quality.RULES)
     fails = " OR ".join(f"coalesce(f.{rule} > (SELECT cutoff FROM best b WHERE b.stratum = f.stratum AND b.rule = '{rule}'), false)" for rule in quality.RULES)
     tests, p = sum(len(g) for _, g in quality.RULES.values()), quality.RISK / len(quality.RULES)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS stratum FROM documents),
@@ -19,10 +20,10 @@ w AS (SELECT *, list_filter(regexp_split_to_array(text, '[{BLANK}]+'), lambda x:
 t AS (SELECT doc_id, p, words[p] AS a, words[p + 1] AS b, words[p + 2] AS c FROM w, unnest(range(1, len(words) - 1)) AS u(p)),
 k AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM t),
 r AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM k WHERE n > 1) GROUP BY doc_id),
-n AS (SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[{BLANK}]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+n AS (SELECT doc_id, stratum, md5(text) AS same, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[{BLANK}]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
  len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratios} FROM n),
-held AS (SELECT f.*, quality FROM f JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+held AS (SELECT stratum, same, min(quality) AS quality, {firsts} FROM f JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed GROUP BY stratum, same),
 long AS ({long}), grid(rule, place, cutoff) AS (VALUES {grid}),
 sums AS (SELECT stratum, rule, place, cutoff, count(*) FILTER (quality > 0) AS n_good, count(*) FILTER (quality > 0 AND value > cutoff) AS k_good, count(*) FILTER (quality <= 0 AND value > cutoff) AS k_bad FROM long JOIN grid USING (rule) GROUP BY ALL),
 tail AS (SELECT s.stratum, s.rule, s.place, sum(exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({p}) + (n_good - j) * ln(1 - {p}))) AS p_value FROM sums s, unnest(range(k_good + 1)) AS u(j) WHERE n_good > 0 AND k_good < n_good * {p} GROUP BY ALL),
