@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import materialise
+from covarium.llm.common import join_counted, materialise
 from covarium.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +54,7 @@ def _resolved(base: Column, link: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: addresses that a page's canonical link or refresh redirect makes one."""
+    """``(a, b)``: addresses that a page's canonical link or refresh redirect makes one; a null where it names none."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     found = pages.where(url.contains("://") & F.lower(html).rlike("canonical|http-equiv")).select(url.alias("url"), F.explode(tags).alias("tag"))
@@ -62,7 +62,10 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     canonical = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b")
     refresh = F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b")
     link = F.when(canonical, F.regexp_extract("tag", r"(?is)\bhref" + quoted, 1)).when(refresh, F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
-    return found.select(address(url).alias("a"), address(_resolved(F.col("url"), F.trim(F.regexp_replace(link, "&amp;", "&")))).alias("b")).where("b is not null")
+    # step by step, as what a step uses several times is not to be computed so often
+    stated = found.where(canonical | refresh).select("url", F.trim(F.regexp_replace(link, "&amp;", "&")).alias("link"))
+    resolved = stated.select("url", _resolved(F.col("url"), F.col("link")).alias("target"))
+    return resolved.select(address(F.col("url")).alias("a"), address(F.col("target")).alias("b"))
 
 
 def decide(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
@@ -87,7 +90,8 @@ def decide(urls: DataFrame, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     )
     fits = F.filter("rules", lambda r: F.col("path").startswith(r["prefix"]))
     best = F.array_max(fits)
-    return dealt.join(known, ["host", "salt"], "left").select(*urls.columns, "host", "path", best["rule"].alias("rule"), best["action"].alias("action"))
+    found = dealt.join(known, ["host", "salt"], "left").select(*urls.columns, "host", "path", best.alias("best"))
+    return found.select(*urls.columns, "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = tuple(RULES), extra_edges: DataFrame | None = None) -> DataFrame:
@@ -108,8 +112,9 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = tuple(
         edges = edges.unionByName(extra_edges.select(address(F.col(a)).alias("a"), address(F.col(b)).alias("b")))
     parts, _ = materialise(connected_components(edges))
     members = decide(parts.select(F.col("vertex").alias("url"), "component"), rules)
-    verdicts = members.groupBy("component").agg((F.max((F.col("action") == "block").cast("int")) > 0).alias("blocked"), (F.max((F.col("action") == "allow").cast("int")) > 0).alias("allowed"))
-    doomed = parts.join(verdicts.where("blocked and not coalesce(allowed, false)"), "component").select(F.col("vertex").alias("alias"), F.lit(True).alias("doomed"))
+    verdicts = members.groupBy("component").agg((F.max((F.col("action") == "block").cast("int")) > 0).alias("blocked"), (F.max((F.col("action") == "allow").cast("int")) > 0).alias("allowed"), F.count(F.lit(1)).alias("n"))
+    blocked = verdicts.where("blocked and not coalesce(allowed, false)").select("component", "n", F.lit(True).alias("doomed"))
+    doomed = join_counted(parts, blocked, "component", parts.count()).select(F.col("vertex").alias("alias"), "doomed")
     return decided.join(doomed, address(F.col("url")) == F.col("alias"), "left").select(
         "page_id", "url", "host", "path", "rule", F.coalesce("action", F.when(F.col("doomed"), "block").otherwise("allow")).alias("verdict")
     )
