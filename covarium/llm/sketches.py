@@ -157,7 +157,8 @@ def edit_likeness(docs: DataFrame, k: int = K, width: int = WIDTH, seed: int = S
     )
     together = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
     return (
-        together.repartition(n, "part")
+        together.withColumn("task", F.pmod(F.expr("part div 4294967296") + F.expr("part % 4294967296"), F.lit(n)).cast("int"))
+        .repartitionById(n, "task")  # ranges in turn, so that each task has as many
         .sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
         .select("part", "doc_id", "text", "ghost")
         .mapInArrow(_edited(k, width, seed), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
