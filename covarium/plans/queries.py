@@ -461,6 +461,15 @@ def kernel_concentration(spark, d):
     return out.select(r("mean").alias("mean"), r("std").alias("std"), "n")
 
 
+def dense(df: DataFrame) -> pd.DataFrame:
+    """Rows for a solver that holds them all, ``runner.DENSE_ROWS`` at most."""
+    from covarium.plans.runner import DENSE_ROWS
+
+    if df.count() > DENSE_ROWS:
+        raise ValueError(f"a dense solver takes at most {DENSE_ROWS} rows")
+    return df.toPandas().sort_values("trial_id")
+
+
 def features(spark, d):
     x = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("trial_id"), (F.col("vec_id") % 5).alias("subject"), (F.col("label") % 2).alias("label"), x.alias("features"))
@@ -664,7 +673,7 @@ def iqp_fidelity_gram(spark, d):
 @query()
 def kernel_classifier(spark, d):
     """A fidelity-kernel SVM for each held-out subject; the fold's states and dual are held in memory."""
-    pdf = features(spark, d).toPandas().sort_values("trial_id")
+    pdf = dense(features(spark, d))
     x, y, s = np.stack(pdf["features"]), pdf["label"].to_numpy(), pdf["subject"].to_numpy()
     guess = np.zeros(len(y), int)
     for fold in np.unique(s):
@@ -674,7 +683,7 @@ def kernel_classifier(spark, d):
 
 @query()
 def reuploading_circuit(spark, d):
-    pdf = features(spark, d).toPandas().sort_values("trial_id")
+    pdf = dense(features(spark, d))
     x, y = np.stack(pdf["features"])[:, :2] * 3, pdf["label"].tolist()
     model = S.Reuploading(2, 2, epochs=3, batch=64).fit(x, y)
     return spark.createDataFrame(pd.DataFrame({"trial_id": pdf["trial_id"], "y_pred": model.predict(x)}))
