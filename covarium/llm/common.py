@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of all tables that this application writes; ``discard_run`` drops it."""
+    return f"{shared_dir(spark)}/covarium-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -34,7 +39,7 @@ def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     its path for ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -46,6 +51,11 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard_run(spark: SparkSession) -> None:
+    """Delete every table that this application has left in shared storage, once no frame it returned is read again."""
+    discard(spark, [run_dir(spark)])
+
+
 def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined by ``key``, one column or several, with ``table``, which has one row for each key and in ``n`` about how many of ``rows`` have it.
 

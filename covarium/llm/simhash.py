@@ -32,6 +32,8 @@ from covarium.llm.components import connected_components
 
 SEED = 42
 LEAF = 256
+#: Entries at which a worker's memo of hashed words is emptied.
+WORD_MEMO = 300_000
 #: Members that a leaf of the tree should have, and those of a task's chunk of a leaf that stays larger.
 SHARD, CHUNK = 2048, 16384
 #: Fingerprints from which the tree is built (about; twice as many at most), parts of a fingerprint that have a tree each, and levels.
@@ -57,6 +59,40 @@ def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
     return np.array([of(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
 
 
+class _WordHashes(dict):
+    """XXH64 of words, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_MEMO:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+_word_hashes = _WordHashes()
+#: Fixed odd multipliers, one for each word of a shingle.
+PLACES = np.random.default_rng(64).integers(0, 1 << 63, 32).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    """SplitMix64's finish, on unsigned longs."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the same shingles as ``shingle_hashes`` has, made of the hashes of their words: for use where the kind of hash is free."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(max(1, len(h) - width + 1), np.uint64)
+    for k in range(min(width, len(h))):
+        out += h[k : k + len(out)] * PLACES[k]
+    return mixed(out + np.uint64(min(width, len(h))))
+
+
 def fingerprint(text: bytes, width: int = 4, seed: int = SEED) -> int:
     """The SimHash: bit i is set if it is in over half of the shingle hashes; zero for no words."""
     h = shingle_hashes(text, width, seed)
@@ -376,10 +412,7 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
     for w in range(words):
         ones = np.zeros(64, np.int64)
         for k in range(0, len(hashes), 1 << 16):
-            z = hashes[k : k + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & (1 << 64) - 1)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
+            z = mixed(hashes[k : k + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) & (1 << 64) - 1))
             ones += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[w] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
     return out
@@ -400,7 +433,7 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints, keys = [], []
         for t in batch.column(2):
-            h = np.unique(shingle_hashes(t.as_py().encode(), 5, SEED))  # likeness is one of sets
+            h = np.unique(shingles(t.as_py().encode(), 5))  # likeness is one of sets
             prints.append(wide_fingerprint(h).tobytes())
             keys.append(h[:KEYS].view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "keys"])
