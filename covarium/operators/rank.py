@@ -56,9 +56,17 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     return spearman(left, "res_x", "res_y")
 
 
-def group_mean_join_back(df: DataFrame, keys: Sequence[str], value: str, least: float) -> DataFrame:
-    """Rows of groups whose mean ``value`` is over ``least``, with that mean."""
-    return df.withColumn("group_mean", F.avg(value).over(Window.partitionBy(*keys))).where(F.col("group_mean") > least)
+def group_mean_join_back(df: DataFrame, keys: Sequence[str], value: str, least: float, order: Sequence[str] = ()) -> DataFrame:
+    """Rows of groups whose mean ``value`` is over ``least``, with that mean.
+
+    A sum of doubles depends on the order of its terms, by which a mean near
+    ``least`` or near a rounding tie falls on either side. With ``order`` values are
+    added in that order, however rows are dealt to partitions.
+    """
+    group = Window.partitionBy(*keys)
+    if order:
+        group = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("group_mean", F.avg(value).over(group)).where(F.col("group_mean") > least)
 
 
 def jackknife(df: DataFrame, value: str = "d") -> DataFrame:

@@ -498,8 +498,10 @@ def pivot_subject_model(spark, d):
 
 @query(f"SELECT event_id, {rs('m', 6)} AS group_mean FROM (SELECT event_id, avg(value) OVER (PARTITION BY user_id, event_type) AS m FROM events) WHERE m > 50")
 def groupmean_joinback(spark, d):
+    """Values are added by event_id, and rounded as DuckDB does: the double times a million, to the nearest whole number."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    return rank.group_mean_join_back(e, ["user_id", "event_type"], "value", 50).select("event_id", r("group_mean", 6).alias("group_mean"))
+    rows = rank.group_mean_join_back(e, ["user_id", "event_type"], "value", 50, order=["event_id"])
+    return rows.select("event_id", (r(F.col("group_mean") * 1e6, 0) / 1e6).alias("group_mean"))
 
 
 YEARS = "WITH y AS (SELECT o_orderpriority, year(o_orderdate)::INT AS yr, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)"
