@@ -429,3 +429,21 @@ def test_group_means_do_not_depend_on_partitions(spark):
     for n in (1, 7):
         got = rank.group_mean_join_back(df.repartition(n, F.hash("value")), ["g"], "value", 50, order=["k"]).collect()
         assert {r.k: r.group_mean for r in got} == {k: sums[g] / 32 for k, g, _ in rows if sums[g] / 32 > 50}
+
+
+def test_fold_classifier_matches_kernel_machine(spark):
+    rng = np.random.default_rng(5)
+    x, subject = rng.standard_normal((150, 6)), np.arange(150) % 3
+    y = (x[:, 0] * x[:, 1] + 0.5 * rng.standard_normal(150) > 0).astype(int)
+    df = spark.createDataFrame([(k, int(s), int(c), v.tolist()) for k, (s, c, v) in enumerate(zip(subject, y, x))], "trial_id long, subject long, label int, features array<double>")
+    model = kernels.FoldClassifier(3, scale=0.5).fit(df)
+    got = np.array([r.y_pred for r in model.predict(df).orderBy("trial_id").collect()])
+    for s in range(3):
+        plain = kernels.KernelClassifier(3, scale=0.5).fit(x[subject != s], y[subject != s].tolist())
+        ((_, _, _, coef, bias),) = plain.svm.pairs
+        sign, m = np.where(y[subject != s] == 0, 1.0, -1.0), model.fitted[s]
+        f = model._simulated(m, x[subject != s])
+        primal = (m.weights[:-1] ** 2).sum() / 2 + np.clip(1 - sign * (f @ m.weights), 0, None).sum()
+        dual = np.abs(coef).sum() - coef @ plain.gram @ coef / 2
+        assert -1e-6 < primal - dual < 2e-3 * dual
+        assert (got[subject == s] == plain.predict(x[subject == s])).mean() > 0.95

@@ -61,3 +61,9 @@ def test_transfer_of_every_subject(spark):
     rows = __spark_entry__.queries()["transfer_stages"](spark, "/root/testdata/sf0.001").collect()
     stages = {r.stage for r in rows}
     assert len({r.subject for r in rows}) == 5 and len(rows) == 5 * len(stages)
+
+
+def test_kernel_classifier_takes_any_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr("covarium.plans.runner.DENSE_ROWS", 50)
+    rows = core.QUERIES["kernel_classifier"](spark, SF).collect()
+    assert len({r.trial_id for r in rows}) == len(rows) == core.table(spark, SF, "embeddings").count() > 50
