@@ -461,15 +461,6 @@ def kernel_concentration(spark, d):
     return out.select(r("mean").alias("mean"), r("std").alias("std"), "n")
 
 
-def dense(df: DataFrame) -> pd.DataFrame:
-    """Rows for a solver that holds them all, ``runner.DENSE_ROWS`` at most."""
-    from covarium.plans.runner import DENSE_ROWS
-
-    if df.count() > DENSE_ROWS:
-        raise ValueError(f"a dense solver takes at most {DENSE_ROWS} rows")
-    return df.toPandas().sort_values("trial_id")
-
-
 def features(spark, d):
     x = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("trial_id"), (F.col("vec_id") % 5).alias("subject"), (F.col("label") % 2).alias("label"), x.alias("features"))
@@ -681,10 +672,18 @@ def kernel_classifier(spark, d):
 
 @query()
 def reuploading_circuit(spark, d):
-    pdf = dense(features(spark, d))
-    x, y = np.stack(pdf["features"])[:, :2] * 3, pdf["label"].tolist()
-    model = S.Reuploading(2, 2, epochs=3, batch=64).fit(x, y)
-    return spark.createDataFrame(pd.DataFrame({"trial_id": pdf["trial_id"], "y_pred": model.predict(x)}))
+    """Trained on the driver, as its steps follow one another, which holds two values and a label of each row; the executors tell all rows."""
+    df = features(spark, d).select("trial_id", "label", *((F.get("features", F.lit(k)) * 3).alias(f"x{k}") for k in range(2)))
+    rows = df.toArrow()
+    order = np.argsort(rows["trial_id"].to_numpy(), kind="stable")
+    x, y = (np.stack([rows[c].to_numpy()[order] for c in names], axis=1) for names in (("x0", "x1"), ("label",)))
+    model = S.Reuploading(2, 2, epochs=3, batch=64).fit(x, y[:, 0].tolist())
+
+    def tell(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"trial_id": pdf["trial_id"], "y_pred": model.predict(pdf[["x0", "x1"]].to_numpy())})
+
+    return df.mapInPandas(tell, "trial_id long, y_pred long")
 
 
 @query()

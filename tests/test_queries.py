@@ -67,3 +67,12 @@ def test_kernel_classifier_takes_any_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr("covarium.plans.runner.DENSE_ROWS", 50)
     rows = core.QUERIES["kernel_classifier"](spark, SF).collect()
     assert len({r.trial_id for r in rows}) == len(rows) == core.table(spark, SF, "embeddings").count() > 50
+
+
+def test_reuploading_circuit_takes_any_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr("covarium.plans.runner.DENSE_ROWS", 50)
+    got = {r.trial_id: r.y_pred for r in core.QUERIES["reuploading_circuit"](spark, SF).collect()}
+    rows = core.features(spark, SF).orderBy("trial_id").collect()
+    x = np.array([r.features[:2] for r in rows]) * 3
+    model = core.S.Reuploading(2, 2, epochs=3, batch=64).fit(x, [r.label for r in rows])
+    assert got == dict(zip([r.trial_id for r in rows], model.predict(x)))
