@@ -447,3 +447,11 @@ def test_fold_classifier_matches_kernel_machine(spark):
         dual = np.abs(coef).sum() - coef @ plain.gram @ coef / 2
         assert -1e-6 < primal - dual < 2e-3 * dual
         assert (got[subject == s] == plain.predict(x[subject == s])).mean() > 0.95
+
+
+def test_blocks_of_pairs_do_not_replicate_rows(spark):
+    a, b = spark.range(50).withColumnRenamed("id", "i"), spark.range(30).withColumnRenamed("id", "j")
+    pairs = means.blocked_pairs(a, b, "i", "j", blocks=4)
+    assert sorted((r.i, r.j) for r in pairs.collect()) == [(i, j) for i in range(50) for j in range(30)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Broadcast" not in plan and pairs.rdd.getNumPartitions() == 16
