@@ -115,6 +115,15 @@ def test_chains_that_others_span(spark):
     assert covered >= {*range(52), *range(n - 52, n)}
 
 
+def test_links_within_longer_passages(spark):
+    """The first holder of a passage that the document before has as a part of a longer one."""
+    rng = np.random.default_rng(33)
+    p, a, b = prose(rng, 60), prose(rng, 40), prose(rng, 40)
+    texts = {0: f"{prose(rng, 30)} {p} {prose(rng, 30)}", 1: f"{prose(rng, 20)} {a} {p} {b}", 2: f"{a} {p} {b} {prose(rng, 20)}"}
+    got = passages.shared_passages(frame(spark, texts.items())).collect()
+    assert sorted((r.match_doc_id, r.doc_id, r.n_words) for r in got) == [(0, 1, 60), (0, 2, 60), (1, 2, 140)]
+
+
 def test_chains_wait_for_alignment(spark):
     """A chain that another one spans is told unless that one is found to be alike."""
     long, short = np.arange(0, 130, 13), np.arange(26, 66, 13)
