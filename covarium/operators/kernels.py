@@ -150,9 +150,8 @@ class FoldClassifier:
         self.machine = partial(KernelClassifier, n_qubits, feature_map, reps, scale, c)
         self.q, self.c, self.fold, self.features, self.label = n_qubits, c, fold, features, label
 
-    def _sums(self, data: DataFrame, parts) -> list[np.ndarray]:
-        """What ``parts(x, y, fold)`` gives for some rows, an array for each machine, summed over all rows."""
-        count = len(self.models)
+    def _sums(self, data: DataFrame, parts, count: int) -> list[np.ndarray]:
+        """What ``parts(x, y, fold)`` gives for some rows, ``count`` arrays of one size, summed over all rows."""
 
         def run(batches):
             total = None
@@ -165,7 +164,10 @@ class FoldClassifier:
                 yield pd.DataFrame({"s": [np.concatenate([t.ravel() for t in total]).tobytes()]})
 
         rows = data.mapInPandas(run, "s binary").collect()  # one for each partition, of which there are few
-        return np.split(sum(np.frombuffer(r["s"]) for r in rows), count)
+        total = 0
+        while rows:
+            total = total + np.frombuffer(rows.pop()["s"])
+        return np.split(total, count)
 
     def _simulated(self, m: KernelClassifier, x: np.ndarray) -> np.ndarray:
         psi = overlaps(S.feature_state(m.scale * m._reduce(x), m.map, m.reps))
@@ -174,6 +176,7 @@ class FoldClassifier:
     def _solve(self, data: DataFrame) -> None:
         models, c = self.models, self.c
         size = 4**self.q + 1
+        upper = np.triu_indices(size)
         own = np.r_[np.ones(size - 1), 0.0]  # the bias has no penalty
         w = [np.zeros(size) for _ in models]
         for h in WIDTHS:
@@ -182,47 +185,47 @@ class FoldClassifier:
                 if not open_:
                     break
 
-                def slopes(x, y, fold, w=tuple(w), todo=frozenset(open_)):
+                todo = sorted(open_)
+
+                def slopes(x, y, fold, w=tuple(w), todo=todo):
                     out = []
-                    for k, m in enumerate(models):
-                        acc = np.zeros((size + 1, size))
-                        if k in todo and (at := fold != m.left_out).any():
+                    for k in todo:
+                        m, acc = models[k], np.zeros(size + size * (size + 1) // 2)
+                        if (at := fold != m.left_out).any():
                             f = self._simulated(m, x[at]) * y[at, None]
                             short = np.clip((1 + h - f @ w[k]) / (2 * h), 0, 1)  # minus the slope of the loss
                             near = f[(short > 0) & (short < 1)]
-                            acc[0], acc[1:] = -c * (short @ f), c / (2 * h) * (near.T @ near)
+                            acc = np.r_[-c * (short @ f), c / (2 * h) * (near.T @ near)[np.triu_indices(size)]]
                         out.append(acc)
                     return out
 
                 d, drop = [np.zeros(size) for _ in models], [0.0] * len(models)
-                for k, s in enumerate(self._sums(data, slopes)):
-                    if k in open_:
-                        s = s.reshape(size + 1, size)
-                        g = s[0] + own * w[k]
-                        d[k] = -np.linalg.solve(s[1:] + np.diag(own + damping[k]), g)
-                        drop[k] = float(-g @ d[k])
-
-                def losses(x, y, fold, w=tuple(w), d=tuple(d), todo=frozenset(open_)):
+                for k, s in zip(todo, self._sums(data, slopes, len(todo))):
+                    g, curve = s[:size] + own * w[k], np.zeros((size, size))
+                    curve[upper] = s[size:]
+                    d[k] = -np.linalg.solve(curve + np.triu(curve, 1).T + np.diag(own + damping[k]), g)
+                    drop[k] = float(-g @ d[k])
+
+                def losses(x, y, fold, w=tuple(w), d=tuple(d), todo=todo):
                     out = []
-                    for k, m in enumerate(models):
-                        acc = np.zeros(len(STEPS) + 1)
-                        if k in todo and (at := fold != m.left_out).any():
+                    for k in todo:
+                        m, acc = models[k], np.zeros(len(STEPS) + 1)
+                        if (at := fold != m.left_out).any():
                             f = self._simulated(m, x[at]) * y[at, None]
                             gap = 1 - (f @ w[k])[:, None] - (f @ d[k])[:, None] * np.r_[0, STEPS]
                             acc = c * np.where(gap > h, gap, np.clip(gap + h, 0, None) ** 2 / (4 * h)).sum(axis=0)
                         out.append(acc)
                     return out
 
-                for k, loss in enumerate(self._sums(data, losses)):
-                    if k in open_:
-                        value = loss + [((own * (w[k] + t * d[k])) ** 2).sum() / 2 for t in (0, *STEPS)]
-                        best = int(value[1:].argmin())
-                        gained = value[0] - value[1 + best]
-                        if gained > 0:
-                            w[k] = w[k] + STEPS[best] * d[k]
-                        if drop[k] <= 1e-9 * value[0] or 0 < gained <= 1e-9 * value[0]:
-                            open_.discard(k)
-                        damping[k] = max(1e-9, damping[k] / 100) if gained > 0 else damping[k] * 100
+                for k, loss in zip(todo, self._sums(data, losses, len(todo))):
+                    value = loss + [((own * (w[k] + t * d[k])) ** 2).sum() / 2 for t in (0, *STEPS)]
+                    best = int(value[1:].argmin())
+                    gained = value[0] - value[1 + best]
+                    if gained > 0:
+                        w[k] = w[k] + STEPS[best] * d[k]
+                    if drop[k] <= 1e-9 * value[0] or 0 < gained <= 1e-9 * value[0]:
+                        open_.discard(k)
+                    damping[k] = max(1e-9, damping[k] / 100) if gained > 0 else damping[k] * 100
             if open_:
                 log.warning("support vector machines of %d folds have not settled at a width of %g", len(open_), h)
         for m, weights in zip(models, w):
@@ -257,7 +260,7 @@ class FoldClassifier:
         def moments(x, y, fold):
             return [np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()]) for m in models for z in (x[fold != m.left_out],)]
 
-        for m, s in zip(models, self._sums(data, moments)):
+        for m, s in zip(models, self._sums(data, moments, len(models))):
             dim = (isqrt(4 * len(s) - 3) - 1) // 2
             m.mean, square = s[1 : dim + 1] / s[0], s[dim + 1 :].reshape(dim, dim) / s[0]
             spread = square - np.outer(m.mean, m.mean)
